@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-for _name in ("sharding", "digests"):
+for _name in ("gif", "sharding", "digests"):
     _module = importlib.import_module(f"parlance.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})

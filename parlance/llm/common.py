@@ -53,6 +53,11 @@ def edges(ids: DataFrame, col: str, per_bucket: int = 64, most: int = 65_536) ->
     return sorted({least, *cuts})
 
 
+def literal(values: list, kind: str = "bigint") -> Column:
+    """A literal array: one string that the optimizer folds, instead of a node for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def bucket_of(value: Column, cuts: list[int]) -> Column:
     """Index of the last cut at or below ``value``, by a binary search over a literal array (values below all: 0)."""
     if len(cuts) < 2:
@@ -61,7 +66,7 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
     while step:
         steps.append(step)
         step >>= 1
-    held = F.lit(cuts).cast("array<bigint>")
+    held = literal(cuts)
 
     def go(at: Column, step: Column) -> Column:
         return F.when((at + step < len(cuts)) & (F.get(held, at + step) <= value), at + step).otherwise(at)

@@ -25,6 +25,8 @@ BLANKS = f" [ {OTHER_BLANKS}]+|[{OTHER_BLANKS}][ {OTHER_BLANKS}]*"
 SECOND_SEED = 0x5DEECE66D
 NO_ID = -(2**63)
 SALTS = 16
+#: Words of 64 bits in the bitmap of buckets, 16 MB at most when it is broadcast.
+WORDS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -86,8 +88,14 @@ def grouped(prints: DataFrame, docs: DataFrame) -> DataFrame:
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     raw = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("key"), canonical(docs["text"]).alias("canon"))
     h1, h2 = wide_hash(F.col("canon"))
-    raw = raw.withColumns({"h1": h1, "h2": h2, "salt": F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")})
-    members = raw.join(spread.select("h1", "h2", "salt"), ["h1", "h2", "salt"], "left_semi")
+    raw = raw.withColumns({"h1": h1, "h2": h2})
+    # a bitmap of the buckets that have several members, at most WORDS rows however many there are: most other texts stay
+    # where they are, and a text that passes by chance makes a class of its own
+    place = lambda h: (F.pmod(h, F.lit(WORDS)).alias("word"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int"))
+    word, bit = place(F.col("h1"))
+    bitmap = held.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    raw = raw.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
+    members = raw.filter(F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1)
     classes = cut(members.groupBy("h1", "h2", "canon").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     collided = classes.groupBy("h1", "h2").agg(F.count("*").alias("classes")).filter("classes > 1").count()
     if not collided:

@@ -22,6 +22,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,9 @@ def levels(most: int, percent: int = PERCENT) -> list[int]:
     return out
 
 
-TOPS = np.array(levels(1 << 40))
+@lru_cache(maxsize=8)
+def tops(percent: int) -> np.ndarray:
+    return np.array(levels(1 << 40, percent))
 
 
 def digest(h: np.ndarray) -> int:
@@ -108,13 +111,13 @@ def digest(h: np.ndarray) -> int:
 
 def blocks(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The class digests of a set: at its own level, and at the next if a larger set that links can be there."""
-    n = len(h)
-    own = int(np.searchsorted(TOPS, n))
+    n, top = len(h), tops(percent)
+    own = int(np.searchsorted(top, n))
     out = []
-    for level in (own, own + 1) if n * 100 // percent > TOPS[own] else (own,):
+    for level in (own, own + 1) if n * 100 // percent > top[own] else (own,):
         if level == 0 or not n:
             continue
-        k = differences(int(TOPS[level]), percent) + 1 + SPARE
+        k = differences(int(top[level]), percent) + 1 + SPARE
         at = ((h >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
         count = np.bincount(at, minlength=k)
         low = np.bincount(at, (h & np.uint64(0xFFFFFFFF)).astype(float), k).astype(np.uint64)
@@ -212,17 +215,35 @@ class Region:
         return self.label
 
     def compare(self, at: np.ndarray, dist: np.ndarray, r: float) -> None:
-        """Pairs of a region whose distances to every pivot allow a link and that no chain of links connects yet."""
+        """Pairs that may link and that no chain of links connects yet.
+
+        Of two sets that link, each has one of the other's elements among its rarest few, rare in this region; so what many
+        of its points share brings no pairs up. Then the sizes and the distances to every pivot must allow a link.
+        """
         size = self.size[at]
+        owner = np.repeat(np.arange(len(at)), size)
+        flat = np.concatenate([self.own(int(i)) for i in at])
+        seen = np.bincount(flat, minlength=len(self.values))
+        order = np.lexsort((flat, seen[flat], owner))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        rare = place < np.repeat(size + (-self.percent * size) // 100 + 1, size)
+        element, who = flat[order][rare], owner[rare]
+        several = seen[element] > 1
+        element, who = element[several], who[several]
+        by = np.argsort(element, kind="stable")
+        starts = np.searchsorted(element[by], np.arange(len(self.values) + 1))
+        listed = who[by]
+        cuts = np.searchsorted(who, np.arange(len(at) + 1))
         for i in range(len(at) - 1):
-            rest = np.arange(i + 1, len(at))
+            mine = element[cuts[i] : cuts[i + 1]]
+            if not len(mine):
+                continue
+            rest = np.unique(np.concatenate([listed[starts[e] : starts[e + 1]] for e in mine]))
+            rest = rest[rest > i]
             rest = rest[self.label[at[rest]] != self.label[at[i]]]
-            if len(rest):
-                small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-                rest = rest[100 * small >= self.percent * large]
+            small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+            rest = rest[100 * small >= self.percent * large]
             for row in dist:
-                if not len(rest):
-                    break
                 rest = rest[np.abs(row[rest] - row[i]) <= r + 1e-9]
             if len(rest):
                 self.near(int(at[i]), at[rest])
@@ -341,6 +362,18 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(found, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"), F.when(found, F.col("sets")).otherwise(F.lit(1)).cast("long").alias("component_sets"))
 
 
+def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that have the least id of their component; of rows that share that id, one.
+
+    Only ids travel: those that go are few or many, but each is one number.
+    """
+    own = docs.columns
+    found = joined(docs.select("doc_id", "text"), words, percent)
+    gone = found.filter((F.col("component_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return kept.select(*own)
+
+
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at a similarity of 0.9 over shingles of three words."""
     return joined(documents(spark, sf_dir))

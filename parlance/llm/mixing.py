@@ -209,13 +209,25 @@ def copies_of(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """The documents with ``__tokens``, ``__p``, ``__rate`` and ``__copies``; also the domains in the order of ``__p``."""
+def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text_col: str = "text", least_wanted: int = 0) -> tuple[DataFrame, list[str]]:
+    """The documents with ``__tokens``, ``__p``, ``__rate`` and ``__copies``; also the domains in the order of ``__p``.
+
+    A document whose likeliest domain has a greater target than share now gets ``least_wanted`` copies at least.
+    """
+    targets = targets or TARGETS
     model = fit_classifier(docs, membership, text_col)
     rows = model.posteriors(docs, text_col)
-    steps = fit_rates(cut(rows.select("__tokens", "__p")), model.domains, targets or TARGETS, total)
+    members = cut(rows.select("__tokens", "__p"))
+    steps = fit_rates(members, model.domains, targets, total)
     out = rows.withColumn("__rate", rate_of(steps))
-    return out.withColumn("__copies", copies_of(F.col("__rate"), F.col("doc_id"))), model.domains
+    out = out.withColumn("__copies", copies_of(F.col("__rate"), F.col("doc_id")))
+    if least_wanted and model.domains:
+        held = members.agg(*[F.sum(F.col("__tokens") * F.get("__p", F.lit(k))).alias(f"a{k}") for k in range(len(model.domains))]).first()
+        held = [x or 0.0 for x in held]
+        wanted = [targets.get(name, 0.0) * sum(held) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, held, strict=True)]
+        likeliest = F.array_position("__p", F.array_max("__p")).cast("int") - 1
+        out = out.withColumn("__copies", F.when(F.get(literal([str(w).lower() for w in wanted], "boolean"), likeliest), F.greatest("__copies", F.lit(least_wanted))).otherwise(F.col("__copies")))
+    return out, model.domains
 
 
 def op2_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,19 +193,22 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 120, rate: f
     return model
 
 
-def training_rows(kept: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``sample`` rows of features and labels outside the held-out fold, those of the least hash."""
+def labelled(labels: DataFrame, label: str, folds: int, held: int, sample: int) -> DataFrame:
+    """doc_id and y of at most ``sample`` rows outside the held-out fold, those of the least hash."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(remainder(F.col("doc_id"), folds) != held)
-    known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = kept.join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toPandas()  # sample rows of 18 numbers
-    rows = rows.sort_values("doc_id")
-    return (np.array(rows["x"].tolist()), rows["y"].to_numpy(float)) if len(rows) else (np.zeros((0, len(FEATURES))), np.zeros(0))
+    return known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def trained(kept: DataFrame, known: DataFrame) -> Gam:
+    """The model of the known rows of a feature table; rows and features are bounded."""
+    rows = kept.join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id")
+    return fit(np.array(rows["x"].tolist()).reshape(len(rows), -1), rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     kept = cut(feature_table(docs))
-    model = fit(*training_rows(kept, labels, "quality", 5, 0, sample))
+    model = trained(kept, labelled(labels, "quality", 5, 0, sample))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,6 +219,22 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score at least ``threshold``. No shuffle: a batch is scored and filtered where it is."""
+    known = labelled(labels, "quality", 5, 0, sample)
+    some = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id")
+    model = trained(cut(feature_table(some)), known)
+    at = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([features(t or "") for t in b.column(at).to_pylist()])
+                yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return map_arrow(docs, rows, docs.schema)
+
+
 def op6_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     return scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -54,6 +54,12 @@ def edges(ids: DataFrame, col: str, per_bucket: int = 64, most: int = 65_536) ->
     return sorted({least, *cuts})
 
 
+def held(value: Column) -> Column:
+    """The same value, in a form that the optimizer computes where it stands: it is neither repeated in each expression that
+    refers to it nor carried below it by a filter."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def literal(values: list, kind: str = "bigint") -> Column:
     """A literal array: one string that the optimizer folds, instead of a node for each value."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
@@ -67,9 +73,9 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
     while step:
         steps.append(step)
         step >>= 1
-    held = literal(cuts)
+    at_most = literal(cuts)
 
     def go(at: Column, step: Column) -> Column:
-        return F.when((at + step < len(cuts)) & (F.get(held, at + step) <= value), at + step).otherwise(at)
+        return F.when((at + step < len(cuts)) & (F.get(at_most, at + step) <= value), at + step).otherwise(at)
 
     return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), go)

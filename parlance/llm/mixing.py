@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut, documents, literal
+from parlance.llm.common import cut, documents, held, literal
 
 #: Target weights of the domains that quality and toxicity labels make.
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
@@ -72,14 +72,14 @@ class Classifier:
         n = F.greatest(F.lit(1), F.size("__w"))
         sums = [F.least(F.lit(MOST_EVIDENCE), F.col(f"__s.d{k}")) for k in range(d)]
         x = [*sums, *[F.when(y > 0, 1.0).otherwise(0.0) for y in sums], F.size("__b") / n, F.log1p(n.cast("double")), F.lit(1.0)]
-        return out.withColumn("__x", F.array(*x)).drop("__w", "__b", "__s")
+        return out.withColumn("__x", held(F.array(*x))).drop("__w", "__b", "__s")
 
     def posteriors(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The table with ``__tokens`` and ``__p``."""
         out = self.evidence(docs, text_col)
         rows = [F.aggregate(F.zip_with("__x", literal([repr(float(c)) for c in row], "double"), lambda a, c: a * c), F.lit(0.0), lambda a, c: a + c) for row in self.coef]
         out = out.withColumn("__l", F.array(*rows)).withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
-        return out.withColumn("__p", F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b))).drop("__x", "__l", "__e")
+        return out.withColumn("__p", held(F.transform("__e", lambda x: x / F.aggregate("__e", F.lit(0.0), lambda a, b: a + b)))).drop("__x", "__l", "__e")
 
 
 def multinomial(x: np.ndarray, y: np.ndarray, d: int, ridge: float = 0.3) -> np.ndarray:
@@ -142,8 +142,8 @@ def fit_classifier(docs: DataFrame, membership: DataFrame, text_col: str = "text
     weights = np.log((counts + 0.1) / (n[:, None] + 0.2)) - np.log((other + 0.1) / (n.sum() - n + 0.2)[:, None]) - 1.5 / np.sqrt(counts + 0.1)
     weights = np.round(np.where((counts >= LEAST_ROWS) & (weights > LEAST_WEIGHT), weights, 0), 3)
     model = Classifier(domains, weights, np.zeros((d, 2 * d + 3)))
-    held = model.evidence(rows.filter("half").select("doc_id", "domain", "text")).select("doc_id", "domain", "__x").toPandas().sort_values(["doc_id", "domain"])
-    x, y = np.array(held["__x"].tolist()).reshape(len(held), -1), np.array([domains.index(k) for k in held["domain"]], int)
+    rest = model.evidence(rows.filter("half").select("doc_id", "domain", "text")).select("doc_id", "domain", "__x").toPandas().sort_values(["doc_id", "domain"])
+    x, y = np.array(rest["__x"].tolist()).reshape(len(rest), -1), np.array([domains.index(k) for k in rest["domain"]], int)
     if len(x):
         model.coef = multinomial(x, y, d)
     # the sample has other shares of the domains than the labelled table
@@ -182,14 +182,14 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     p = [F.get(F.col("__p"), F.lit(k)) for k in range(d)]
     t = F.col("__tokens").cast("double")
     row = members.agg(*[F.sum(t * p[i]).alias(f"a{i}") for i in range(d)], *[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    held = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
-    if held.sum() <= 0:
+    has = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
+    if has.sum() <= 0:
         return []
-    goal = w * (total if total is not None else min(h / x for h, x in zip(held, w, strict=True) if x > 0))
+    goal = w * (total if total is not None else min(h / x for h, x in zip(has, w, strict=True) if x > 0))
     square = lambda row: np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
     active = [F.sum(F.when(F.col("__r") > 0, t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
     best: list[np.ndarray] = []
-    now, moment, size, tries = held, square(row), 1.0, 0
+    now, moment, size, tries = has, square(row), 1.0, 0
     off = lambda x: float(np.abs(x - goal).max() / goal.sum())
     while tries < STEPS and off(now) > TOLERANCE:
         tries += 1
@@ -219,14 +219,15 @@ def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | No
     rows = model.posteriors(docs, text_col)
     members = cut(rows.select("__tokens", "__p"))
     steps = fit_rates(members, model.domains, targets, total)
-    out = rows.withColumn("__rate", rate_of(steps))
-    out = out.withColumn("__copies", copies_of(F.col("__rate"), F.col("doc_id")))
+    out = rows.withColumn("__rate", held(rate_of(steps)))
+    out = out.withColumn("__copies", held(copies_of(F.col("__rate"), F.col("doc_id"))))
     if least_wanted and model.domains:
-        held = members.agg(*[F.sum(F.col("__tokens") * F.get("__p", F.lit(k))).alias(f"a{k}") for k in range(len(model.domains))]).first()
-        held = [x or 0.0 for x in held]
-        wanted = [targets.get(name, 0.0) * sum(held) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, held, strict=True)]
+        has = members.agg(*[F.sum(F.col("__tokens") * F.get("__p", F.lit(k))).alias(f"a{k}") for k in range(len(model.domains))]).first()
+        has = [x or 0.0 for x in has]
+        wanted = [targets.get(name, 0.0) * sum(has) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, has, strict=True)]
         likeliest = F.array_position("__p", F.array_max("__p")).cast("int") - 1
         out = out.withColumn("__copies", F.when(F.get(literal([str(w).lower() for w in wanted], "boolean"), likeliest), F.greatest("__copies", F.lit(least_wanted))).otherwise(F.col("__copies")))
+        out = out.withColumn("__copies", held(F.col("__copies")))
     return out, model.domains
 
 

@@ -29,7 +29,9 @@ from parlance.llm.common import cut, documents, held, literal
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
 SAMPLE = 2_000
 BUCKETS = 1 << 15
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 40, 1e-6
+#: A document is drawn on at most so often; a domain with less than SUPPLY of the tokens doesn't bound the mixture's size.
+MOST_RATE, SUPPLY = 4.0, 0.02
 #: Words seen in fewer labelled rows of a domain, or hardly more often there than elsewhere, weigh nothing.
 LEAST_ROWS, LEAST_WEIGHT, MOST_EVIDENCE = 3, 0.7, 12.0
 
@@ -153,7 +155,7 @@ def fit_classifier(docs: DataFrame, membership: DataFrame, text_col: str = "text
 
 
 def rate_of(steps: list[np.ndarray]) -> Column:
-    """The rate after some steps: each takes the posterior's share of it off, and what is below 0 is 0."""
+    """The rate after some steps: each takes the posterior's share of it off, and the result is brought back between 0 and MOST_RATE."""
     if not steps:
         return F.lit(1.0)
     flat = literal([repr(float(x)) for s in steps for x in s], "double")
@@ -164,7 +166,7 @@ def rate_of(steps: list[np.ndarray]) -> Column:
         for k in range(d):
             x = F.get(flat, m * d + k) * F.get(F.col("__p"), F.lit(k))
             down = x if down is None else down + x
-        return F.greatest(F.lit(0.0), r - down)
+        return F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), r - down))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), go)
 
@@ -172,7 +174,8 @@ def rate_of(steps: list[np.ndarray]) -> Column:
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None) -> list[np.ndarray]:
     """The steps of the fit over rows of ``__tokens`` and ``__p``.
 
-    Without ``total``, the mixture is as large as it can be with no domain drawn on beyond what it has.
+    Without ``total``, the mixture is as large as it can be with no domain of some supply drawn on beyond what it has. The
+    fit ends when the targets are met, or when steps no longer bring it nearer (targets out of reach at these rates).
     """
     d = len(domains)
     w = np.array([targets.get(k, 0.0) for k in domains])
@@ -185,18 +188,19 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     has = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
     if has.sum() <= 0:
         return []
-    goal = w * (total if total is not None else min(h / x for h, x in zip(has, w, strict=True) if x > 0))
+    goal = w * (total if total is not None else min((h / x for h, x in zip(has, w, strict=True) if x > 0 and h >= SUPPLY * has.sum()), default=has.sum()))
     square = lambda row: np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-    active = [F.sum(F.when(F.col("__r") > 0, t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
+    active = [F.sum(F.when((F.col("__r") > 0) & (F.col("__r") < MOST_RATE), t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
     best: list[np.ndarray] = []
     now, moment, size, tries = has, square(row), 1.0, 0
     off = lambda x: float(np.abs(x - goal).max() / goal.sum())
-    while tries < STEPS and off(now) > TOLERANCE:
+    miss = lambda x: float(((x - goal) ** 2).sum())
+    while tries < STEPS and off(now) > TOLERANCE and size > 1e-3:
         tries += 1
-        step = size * (np.linalg.pinv(moment + np.eye(d) * 1e-9 * moment.trace()) @ (now - goal))
+        step = size * np.linalg.solve(moment + np.eye(d) * 1e-4 * square(row).trace(), now - goal)
         got = members.withColumn("__r", rate_of([*best, step])).agg(*[F.sum(F.col("__r") * t * x).alias(f"a{i}") for i, x in enumerate(p)], *active).first()
         new = np.array([got[f"a{i}"] or 0.0 for i in range(d)])
-        if off(new) < off(now):
+        if miss(new) < 0.999 * miss(now):
             best, now, moment, size = [*best, step], new, square(got), min(1.0, 2 * size)
         else:  # rates that a step brings back from 0 can carry it too far
             size /= 2

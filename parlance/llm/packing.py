@@ -19,6 +19,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,22 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each cache of a worker; a full cache starts again, results don't depend on it.
-CACHE = 400_000
+CACHE = 200_000
 #: Fillings looked at for one gap, and nodes of the search over the last pieces, before the best so far is taken.
 FILLINGS = 20_000
 NODES = 200_000
 LAST_PIECES = 48
 
 
+def byte_letters() -> dict[int, int]:
+    """How the vocabulary writes bytes: printable ones as themselves, the others as the letters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -64,37 +74,50 @@ class WordTokenizer:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def learn(self, held: dict[str, bytes], texts: list[str]) -> None:
-        if len(held) + len(texts) > CACHE:
-            held.clear()
-        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            held[t] = array("I", e.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd(t) else t.split() for t in texts]
-        fresh = {c for s in split if s for c in s}.difference(self.chunks)
-        if len(self.chunks) + len(fresh) > CACHE:
-            self.chunks.clear()
-            fresh = {c for s in split if s for c in s}
-        plain, whole = {}, []
-        for c in fresh:
-            if (c.isascii() or max(c) < "ɐ") and "<|" not in c:
-                plain[c] = self.pieces(c.lower())
-            else:
-                whole.append(c)
-        new = list({p for ps in plain.values() for p in ps}.difference(self.words))
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            new = list({p for ps in plain.values() for p in ps})
-        self.learn(self.words, new)
-        get = self.words.__getitem__
-        for c, ps in plain.items():
-            self.chunks[c] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        extra: dict[str, bytes] = {}
-        self.learn(extra, whole)
-        self.chunks |= extra
-        get = self.chunks.__getitem__
-        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+    def ids(self, word: str) -> bytes:
+        """Ids of one pre-token, straight from the merges; its bytes are written as the vocabulary writes them."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, c: str) -> bytes:
+        """Ids of what stands between blanks."""
+        if "<|" in c or not (c.isascii() or max(c) < "ɐ"):
+            return self.whole(c)
+        if c.isalpha():
+            parts = (c.lower(),) if "İ" not in c else self.pieces(c.lower())
+        elif c[:-1].isalpha() and "İ" not in c:
+            parts = (c[:-1].lower(), c[-1])
+        else:
+            parts = self.pieces(c.lower())
+        words, out = self.words, []
+        for p in parts:
+            if (got := words.get(p)) is None:
+                if len(words) >= CACHE:
+                    words.clear()
+                got = words[p] = self.ids(p)
+            out.append(got)
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            if self.odd(t):
+                yield self.whole(t)
+                continue
+            split = t.split()
+            held = self.chunks
+            if len(held) >= CACHE:
+                held.clear()
+            for c in set(split).difference(held):
+                held[c] = self.chunk(c)
+            yield b"".join(map(held.__getitem__, split))
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One for each worker process, so that its caches serve all tasks that run there."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -102,7 +125,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or vocabulary_path()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pid, ranks = WordTokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        tokenizer, pid, ranks = tokenizer_of(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = array("I", [END_ID]).tobytes()
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])

@@ -2,5 +2,470 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.functions import columns as C
+from parlance.functions import patterns as P
+from parlance.operators import archive, distill, evaluation, redact, triggers
+from parlance.plans.probes import PROBE, SPARK_PROBE
+from parlance.session import table
+from parlance.sources.adapters import MESSAGES, captures, messages, sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+q = P.quoted
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# --- redaction -------------------------------------------------------------------------------------------------------
+
+PROBED = f"d AS (SELECT doc_id, lang, {PROBE} AS t FROM documents)"
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.expr(SPARK_PROBE).alias("t"))
+
+
+def _inline(key: str, name: str) -> None:
+    _, pattern, fold, placeholder, _ = next(p for p in P.INLINE if p[0] == name)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text, hits = redact.inline(F.col("t"), name)
+        return probed(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text.cast("binary")).alias("redacted_md5"))
+
+    QUERIES[key] = run
+    ORACLES[key] = f"WITH {PROBED} SELECT doc_id, CAST(len(regexp_extract_all(t, {q(P.re2(pattern, fold))})) AS BIGINT) AS hits, md5(regexp_replace(t, {q(P.re2(pattern, fold))}, {q(placeholder)}, 'g')) AS redacted_md5 FROM d"
+
+
+for _key, _name in (("redact_openai_key", "api-key-openai"), ("redact_github", "github-token"), ("redact_aws", "aws-access-key"), ("redact_bearer", "bearer-inline"), ("redact_email", "email-inline"), ("redact_phone", "phone-inline"), ("redact_path", "sensitive-path")):
+    _inline(_key, _name)
+
+_HEADERS = [(r"(?i)Authorization:\s*Bearer\s+[^\s]+", "Authorization: [AUTH_HEADER:BEARER]"), (r"(?i)Authorization:\s*Basic\s+[A-Za-z0-9+/=]+", "Authorization: [AUTH_HEADER:BASIC]"), (r"(?i)X-Api-Key:\s*[^\s]+", "X-Api-Key: [AUTH_HEADER:X_API_KEY]"), (r"(?i)X-Auth-Token:\s*[^\s]+", "X-Auth-Token: [AUTH_HEADER:X_AUTH_TOKEN]")]
+
+
+def _headers_sql() -> str:
+    steps, t = [], "d"
+    for i, (p, put) in enumerate(_HEADERS):
+        steps.append(f"h{i} AS (SELECT doc_id, {'0' if i == 0 else 'hits'} + len(regexp_extract_all(t, {q(p)})) AS hits, regexp_replace(t, {q(p)}, {q(put)}, 'g') AS t FROM {t})")
+        t = f"h{i}"
+    return f"WITH {PROBED}, {', '.join(steps)} SELECT doc_id, CAST(hits AS BIGINT) AS hits, md5(t) AS redacted_md5 FROM {t}"
+
+
+@query(_headers_sql())
+def redact_auth_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, hits = redact.auth_headers(F.col("t"))
+    return probed(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text.cast("binary")).alias("redacted_md5"))
+
+
+def _classify_sql(key: str, part: int = 0) -> str:
+    rules = " ".join(f"WHEN regexp_matches({key}, {q('(?i)' + p)}) THEN {q(said[part])}" for p, *said in P.KEYS)
+    return f"CASE WHEN lower({key}) IN ({', '.join(map(q, P.STRUCTURAL))}) THEN NULL {rules} END"
+
+
+def _replaced_sql(pattern: str, key: str, hit: str, put: str) -> str:
+    """One pass of matches laid back between their gaps; ``k`` is a match's key, ``m`` the match."""
+    return f"""WITH {PROBED}, s AS (SELECT doc_id, regexp_split_to_array(t, {q(pattern)}) AS g, regexp_extract_all(t, {q(pattern)}) AS ms FROM d),
+r AS (SELECT doc_id, g, list_transform(ms, lambda m: {{'m': m, 'k': {key}}}) AS ks FROM s),
+u AS (SELECT doc_id, g, list_transform(ks, lambda x: {{'m': x.m, 'k': x.k, 'p': {_classify_sql('x.k')}}}) AS ps FROM r)
+SELECT doc_id, CAST(len(list_filter(ps, lambda x: {hit})) AS BIGINT) AS hits,
+md5(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(list_transform(ps, lambda x: CASE WHEN {hit} THEN {put} ELSE x.m END)[i], '')), '')) AS redacted_md5 FROM u"""
+
+
+def _pass(name: str, pass_: Callable, sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text, hits = pass_(F.col("t"))
+        return probed(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text.cast("binary")).alias("redacted_md5"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+_pass("redact_inline_assignments", redact.assignments, _replaced_sql(P.INLINE_ASSIGNMENT, r"regexp_extract(m, '^([A-Za-z0-9_.-]+)', 1)", r"x.p IS NOT NULL AND NOT regexp_matches(x.m, '(?s)=\s*\[.*\]\z')", "x.k || '=' || x.p"))
+_pass("redact_url_params", redact.url_params, _replaced_sql(P.URL_PARAM, "regexp_extract(m, '^[?&]([^=]+)=', 1)", "true", "substring(x.m, 1, 1) || x.k || '=' || coalesce(x.p, '[URL_PARAM:' || upper(x.k) || ']')"))
+_pass("redact_json_pairs", redact.json_pairs, _replaced_sql(P.JSON_PAIR, """regexp_extract(m, '^"([^"]+)"', 1)""", "x.p IS NOT NULL", """'"' || x.k || '": "' || x.p || '"'"""))
+
+_KEY_SQL = "event_type || CASE event_id % 12 WHEN 0 THEN '_api-key' WHEN 1 THEN '_token' WHEN 2 THEN 'hotel' WHEN 3 THEN '_inside' WHEN 4 THEN '_csrf' WHEN 5 THEN 'Passwd' WHEN 6 THEN '.email' WHEN 7 THEN '_mobile' WHEN 8 THEN '-secret' WHEN 9 THEN 'authorization' WHEN 10 THEN 'tokens' ELSE '' END"
+
+
+@query(f"WITH k AS (SELECT {_KEY_SQL} AS key FROM events) SELECT key, count(*) AS n, {_classify_sql('key')} AS placeholder, {_classify_sql('key', 1)} AS category FROM k GROUP BY key")
+def classify_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "events").select(F.expr(_KEY_SQL).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return k.select("key", "n", C.classify(F.col("key")).alias("placeholder"), C.classify(F.col("key"), 1).alias("category"))
+
+
+def _cascade_sql() -> str:
+    steps, t = [], "d"
+    for i, (name, p, fold, put, _) in enumerate(P.INLINE):
+        steps.append(f"c{i} AS (SELECT * EXCLUDE (t), len(regexp_extract_all(t, {q(P.re2(p, fold))})) AS n{i}, regexp_replace(t, {q(P.re2(p, fold))}, {q(put)}, 'g') AS t FROM {t})")
+        t = f"c{i}"
+    high = " + ".join(f"n{i}" for i, p in enumerate(P.INLINE) if p[4] in P.HIGH_RISK)
+    medium = " + ".join(f"n{i}" for i, p in enumerate(P.INLINE) if p[4] in P.MEDIUM_RISK)
+    return f"WITH {PROBED}, {', '.join(steps)}, r AS (SELECT *, CASE WHEN {high} > 0 THEN 'high' WHEN {medium} > 0 THEN 'medium' ELSE 'low' END AS risk_level FROM {t})"
+
+
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inline patterns after one another, with the hits of each and the risk."""
+    out = probed(spark, sf_dir)
+    for i, (name, *_) in enumerate(P.INLINE):
+        text, hits = redact.inline(F.col("t"), name)
+        out = out.withColumns({f"n{i}": hits, "u": text}).drop("t").withColumnRenamed("u", "t")
+    by = {}
+    for i, p in enumerate(P.INLINE):
+        by[p[4]] = by.get(p[4], F.lit(0)) + F.col(f"n{i}")
+    return out.withColumn("risk_level", redact.risk(by))
+
+
+@query(_cascade_sql() + " SELECT lang, risk_level, count(*) AS documents FROM r GROUP BY ALL")
+def risk_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade(spark, sf_dir).groupBy("lang", "risk_level").agg(F.count("*").alias("documents"))
+
+
+@query(_cascade_sql() + ", h AS (" + " UNION ALL ".join(f"SELECT {q(p[0])} AS pattern, {q(p[4])} AS category, {q(p[3])} AS placeholder, n{i} AS n FROM r" for i, p in enumerate(P.INLINE)) + ") SELECT pattern, category, placeholder, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 0) AS documents FROM h GROUP BY ALL")
+def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.array(*[F.struct(F.lit(p[0]).alias("pattern"), F.lit(p[4]).alias("category"), F.lit(p[3]).alias("placeholder"), F.col(f"n{i}").alias("n")) for i, p in enumerate(P.INLINE)])
+    return cascade(spark, sf_dir).select(F.inline(one)).groupBy("pattern", "category", "placeholder").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("documents"))
+
+
+@query()
+def redact_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact.redacted(probed(spark, sf_dir), "t").select("doc_id", F.md5(F.col("t").cast("binary")).alias("redacted_md5"), F.to_json("redactions").alias("redactions"), "risk_level")
+
+
+# --- archive ---------------------------------------------------------------------------------------------------------
+
+S_SQL = "WITH " + MESSAGES + ", s AS (SELECT conv_id, session_id, repo, provider, captured_at, count(*) AS n_messages FROM m GROUP BY ALL)"
+COLS = ["session_id", "repo", "provider", "captured_at", "CAST(size(messages) AS BIGINT) AS n_messages"]
+
+
+@query(S_SQL + " SELECT session_id, repo, provider, captured_at, n_messages FROM s WHERE captured_at >= TIMESTAMP '2026-03-01 10:00:00' AND captured_at <= TIMESTAMP '2026-03-02 12:19:00'")
+def archive_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.scan(sessions(spark, sf_dir), since="2026-03-01T10:00:00", until="2026-03-02T12:19:00").selectExpr(*COLS)
+
+
+@query(S_SQL + " SELECT session_id, repo, provider, captured_at, n_messages FROM s WHERE repo IN ('team/repo 2', '_global')")
+def archive_repo_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.scan(sessions(spark, sf_dir), repo="team/repo 2").selectExpr(*COLS)
+
+
+@query(S_SQL + " SELECT session_id, repo, provider, captured_at, n_messages FROM s WHERE conv_id IN (3, 7, 11, 999999)")
+def archive_session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.scan(sessions(spark, sf_dir), session_ids=["conv-3", "conv-7", "conv-11", "conv-999999"]).selectExpr(*COLS)
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).filter("conv_id % 3 = 0").select("session_id", F.lit("issue-draft").alias("distiller_id")).distinct()
+
+
+@query(S_SQL + " SELECT session_id, repo, provider, captured_at, n_messages FROM s WHERE conv_id % 3 <> 0")
+def archive_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.unprocessed(sessions(spark, sf_dir), _processed(spark, sf_dir), "issue-draft").selectExpr(*COLS)
+
+
+@query(S_SQL + " SELECT session_id, repo, provider, captured_at, n_messages FROM s WHERE conv_id % 3 <> 0 ORDER BY repo, captured_at, session_id LIMIT 10")
+def archive_unprocessed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.unprocessed(sessions(spark, sf_dir), _processed(spark, sf_dir), "issue-draft", 10).selectExpr(*COLS)
+
+
+@query(S_SQL + ", f AS (SELECT session_id, arg_min(message_id, turn) AS first_id, arg_max(message_id, turn) AS last_id FROM m GROUP BY 1) SELECT session_id, provider, captured_at, '1.0' AS schema_version, '0.1.0' AS version, '' AS cwd, first_id, last_id, n_messages, CAST(0 AS BIGINT) AS redacted_total FROM s JOIN f USING (session_id)")
+def snapshot_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.built(sessions(spark, sf_dir))
+
+
+@query("WITH e AS (SELECT CASE WHEN event_id % 10 = 0 THEN '' ELSE event_type END AS trigger, CASE WHEN event_id % 15 = 0 THEN NULL ELSE ts END AS captured_at FROM events) SELECT trigger, count(*) FILTER (trigger <> '' AND captured_at IS NOT NULL) AS accepted, count(*) FILTER (trigger = '' OR captured_at IS NULL) AS rejected FROM e GROUP BY ALL")
+def capture_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir).withColumns({"trigger": F.when(F.col("event_id") % 10 == 0, "").otherwise(F.col("trigger")), "captured_at": F.when(F.col("event_id") % 15 != 0, F.col("captured_at"))})
+    good, bad = archive.valid_captures(c)
+    both = good.select("trigger", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(bad.select("trigger", F.lit(0).alias("a"), F.lit(1).alias("r")))
+    return both.groupBy("trigger").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected"))
+
+
+@query("SELECT repo, n, regexp_replace(repo, '[^a-zA-Z0-9._-]', '_', 'g') AS folder, regexp_replace('2026-03-01T00:00:00.000Z', '[:.]', '-', 'g') AS stamp FROM (" + "WITH " + MESSAGES + " SELECT repo, count(DISTINCT session_id) AS n FROM m GROUP BY 1)")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = messages(spark, sf_dir).groupBy("repo").agg(F.count_distinct("session_id").alias("n"))
+    return by.select("repo", "n", C.safe_name(F.col("repo")).alias("folder"), C.file_stamp(F.lit("2026-03-01T00:00:00.000Z")).alias("stamp"))
+
+
+# --- triggers --------------------------------------------------------------------------------------------------------
+
+#: Words of the test corpus for the keyword rules; the default words don't occur in it.
+WORDS = {"severity": ("the ", "est", "der"), "semantic": ("ing", "ion")}
+_TEXT = "text_by AS (SELECT session_id, provider, lower(string_agg(text, chr(10) ORDER BY turn)) AS text FROM m GROUP BY ALL)"
+
+
+def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).groupBy("session_id", "provider").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    return m.select("session_id", "provider", F.lower(F.array_join(F.transform("x", lambda r: r["text"]), "\n")).alias("text"))
+
+
+@query(f"WITH {MESSAGES}, {_TEXT} SELECT session_id, length(text) AS chars, md5(text) AS text_md5 FROM text_by")
+def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_texts(spark, sf_dir).select("session_id", F.char_length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"WITH {MESSAGES}, {_TEXT} SELECT session_id, provider || ':session.idle:' || substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 160) AS signature FROM text_by")
+def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_texts(spark, sf_dir).select("session_id", triggers.signature(F.col("provider"), F.lit("session.idle"), F.col("text")).alias("signature"))
+
+
+def _picked(kind: str, words: tuple[str, ...]) -> str:
+    return " || ".join(f"(CASE WHEN contains(text, {q(w)}) THEN [{q(f'{kind}:{w}')}] ELSE [] END)" for w in words)
+
+
+_TRIGGER = "CASE WHEN length(text) % 3 = 0 THEN 'manual.run' ELSE 'session.idle' END"
+_REASONS = f"WITH {MESSAGES}, {_TEXT}, r AS (SELECT session_id, (CASE WHEN length(text) % 3 = 0 THEN ['manual:manual.run'] ELSE [] END) || {_picked('severity', WORDS['severity'])} || {_picked('semantic', WORDS['semantic'])} AS reasons FROM text_by)"
+
+
+def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = session_texts(spark, sf_dir)
+    return t.withColumn("reasons", triggers.reasons(F.col("text"), F.expr(_TRIGGER), WORDS["severity"], WORDS["semantic"]))
+
+
+@query(_REASONS + " SELECT session_id, array_to_string(reasons, '|') AS reasons FROM r WHERE len(reasons) > 0")
+def trigger_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasoned(spark, sf_dir).filter(F.size("reasons") > 0).select("session_id", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query(_REASONS + " SELECT session_id, CAST(greatest(1, coalesce(list_sum(list_transform(reasons, lambda x: CASE WHEN starts_with(x, 'manual:') THEN 3 WHEN starts_with(x, 'severity:') THEN 2 ELSE 1 END)), 0)) AS INTEGER) AS trigger_score FROM r")
+def trigger_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasoned(spark, sf_dir).select("session_id", triggers.score(F.col("reasons")).alias("trigger_score"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS arrivals FROM events")
+def trigger_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.frequency(captures(spark, sf_dir), "session_id", 6 * 3600).select("event_id", "arrivals")
+
+
+@query()
+def trigger_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.released(captures(spark, sf_dir), "session_id", 6 * 3600)
+
+
+_TASKS = "t AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, event_type AS batch_key, ts, CAST(ts AS DATE) AS day, CAST(event_id % 5 AS INTEGER) AS trigger_score, CASE WHEN row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) > 50 THEN 'summary-only' ELSE 'full' END AS processing_mode FROM events)"
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    c = captures(spark, sf_dir).withColumns({"day": F.to_date("captured_at"), "batch_key": F.col("trigger"), "trigger_score": (F.col("event_id") % 5).cast("int")})
+    waiting = F.row_number().over(Window.partitionBy("day").orderBy("captured_at", "event_id"))
+    return c.withColumn("processing_mode", F.when(waiting > 50, "summary-only").otherwise("full"))
+
+
+@query(f"WITH {_TASKS}, c AS (SELECT *, (row_number() OVER (PARTITION BY day ORDER BY ts, event_id) - 1) // 8 AS chunk FROM t) SELECT day, chunk, batch_key, array_to_string(list_sort(list(DISTINCT session_id)), ',') AS sessions, max(trigger_score) AS trigger_score, count(*) AS size, CASE WHEN bool_or(processing_mode = 'summary-only') THEN 'summary-only' ELSE 'full' END AS processing_mode FROM c GROUP BY ALL")
+def trigger_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = triggers.batches(_tasks(spark, sf_dir), ["captured_at", "event_id"], "batch_key", 8, ["day"])
+    return out.withColumn("sessions", F.array_join("session_ids", ",")).drop("session_ids")
+
+
+@query(f"WITH {_TASKS} SELECT day, processing_mode, count(*) AS n FROM t GROUP BY ALL")
+def trigger_degrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tasks(spark, sf_dir).groupBy("day", "processing_mode").agg(F.count("*").alias("n"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS idle_at, count(*) AS n FROM s GROUP BY user_id, k")
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def buffer_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.newest(table(spark, sf_dir, "events"), "user_id", 20, ("ts", "event_id")).select("event_id", "user_id")
+
+
+# --- distillation ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, md5('session_id: ' || session_id || chr(10) || 'messages:' || chr(10) || string_agg('[' || message_id || '] (' || role || ') ' || substring(coalesce(text, ''), 1, 1200), chr(10) ORDER BY turn)) AS prompt_md5 FROM m GROUP BY session_id")
+def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.prompts(messages(spark, sf_dir)).select("session_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", C.token_estimate(F.col("text")).alias("tokens"))
+
+
+#: Replies of an extractor, made of the conversations: two candidates for each session, some not valid, in three wrappings.
+_CAND = """'{"title":"' || CASE WHEN conv_id % 7 = 3 THEN '  ' ELSE 'Issue ' || substring(session_id, 6, 9) END || '","summary":"s' || <k> || '","background":"b","problem":"p' || (conv_id % 6) || '","proposed_solution":"f","acceptance_criteria":["a","b"]' ||
+CASE WHEN (conv_id + <k>) % 3 = 0 THEN '' ELSE ',"confidence":0.' || ((conv_id + <k>) % 8 + 1) END || ',"issue_kind":"' || CASE WHEN conv_id % 2 = 0 THEN 'bug' ELSE 'Bug' END || '","labels":[" x ","","y","x"],"evidence_refs":[{"message_id":"' || conv_id || '-' || <k> || '","excerpt":"e"},{"message_id":"' || conv_id || '-' || <k> || '","excerpt":"e"},{"message_id":"gone","excerpt":"g"}]}'"""
+_BODY = "'[' || " + _CAND.replace("<k>", "0") + " || ',' || " + _CAND.replace("<k>", "1") + " || ']'"
+_REPLY = f"CASE conv_id % 4 WHEN 0 THEN {_BODY} WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || {_BODY} || chr(10) || '```' WHEN 2 THEN '  ' || {_BODY} ELSE 'no json here' END"
+_REPLIES = f"replies AS (SELECT session_id, conv_id, {_REPLY} AS reply FROM (SELECT DISTINCT conv_id, session_id FROM m))"
+_PAYLOAD = "CASE WHEN regexp_matches(trim(reply), '^[\\[{]') THEN trim(reply) WHEN regexp_matches(reply, '(?is)```(?:json)?\\s*(.*?)```') THEN trim(regexp_extract(reply, '(?is)```(?:json)?\\s*(.*?)```', 1), chr(10) || ' ') ELSE trim(reply) END"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).select("conv_id", "session_id").distinct()
+    return m.select("session_id", F.expr(_REPLY).alias("reply"))
+
+
+@query(f"WITH {MESSAGES}, {_REPLIES} SELECT session_id, md5({_PAYLOAD}) AS payload_md5 FROM replies")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies(spark, sf_dir).select("session_id", F.md5(distill.payload(F.col("reply")).cast("binary")).alias("payload_md5"))
+
+
+_VALID = f"""WITH {MESSAGES}, {_REPLIES}, b AS (SELECT DISTINCT conv_id, session_id FROM m WHERE conv_id % 4 <> 3 AND conv_id % 7 <> 3),
+c AS (SELECT b.*, k AS ord, CASE WHEN (conv_id + k) % 3 = 0 THEN NULL ELSE CAST('0.' || ((conv_id + k) % 8 + 1) AS DOUBLE) END AS confidence,
+EXISTS (SELECT 1 FROM m WHERE m.session_id = b.session_id AND m.message_id = b.conv_id || '-' || k) AS proof FROM b, (VALUES (0), (1)) v(k)),
+best AS (SELECT * FROM c WHERE proof QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY coalesce(confidence, 0.5) DESC, ord) = 1)"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distill.valid_issues(distill.candidates(replies(spark, sf_dir), distill.ISSUE))
+    return found.join(distill.evidence(found, messages(spark, sf_dir)), ["session_id", "ord"])
+
+
+@query(_VALID + " SELECT session_id, CAST(ord AS INTEGER) AS ord, conv_id || '-' || ord || ':e' AS evidence FROM c WHERE proof")
+def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(spark, sf_dir).select("session_id", "ord", F.array_join(F.transform("evidence", lambda e: F.concat(e["message_id"], F.lit(":"), e["excerpt"])), ",").alias("evidence"))
+
+
+@query(_VALID + " SELECT session_id, CAST(ord AS INTEGER) AS ord, coalesce(confidence, 0.7) AS confidence FROM best")
+def issue_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.best_issue(_issues(spark, sf_dir)).select("session_id", "ord", F.coalesce("confidence", F.lit(0.7)).alias("confidence"))
+
+
+@query(_VALID + " SELECT session_id, CASE WHEN conv_id % 2 = 0 THEN 'issue-draft,bug,x,y' ELSE 'issue-draft,x,y' END AS tags FROM best")
+def issue_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.best_issue(_issues(spark, sf_dir)).select("session_id", F.array_join(distill.issue_tags(F.col("issue_kind"), F.col("labels")), ",").alias("tags"))
+
+
+@query(_VALID + " SELECT session_id, md5(CASE WHEN conv_id % 2 = 0 THEN 'Type: bug' || chr(10) ELSE '' END || array_to_string(['Labels: x, y', '## Background', 'b', '', '## Problem', 'p' || (conv_id % 6), '', '## Proposed Solution', 'f', '', '## Acceptance Criteria', '- a', '- b', '', '## Evidence', '- `' || conv_id || '-' || ord || '`: e'], chr(10))) AS markdown_md5 FROM best")
+def issue_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distill.best_issue(_issues(spark, sf_dir)).select("session_id", F.md5(distill.issue_markdown().cast("binary")).alias("markdown_md5"))
+
+
+_PIT = "'[{\"problem\":\"' || repeat('p', CAST(60 + conv_id % 50 AS INT)) || '\",\"root_cause\":\"r\",\"solution\":\"s' || (conv_id % 3) || '\",\"prevention\":\"v\",\"category\":' || CASE WHEN conv_id % 5 = 0 THEN 'null' ELSE '\"c' || (conv_id % 2) || '\"' END || '}]'"
+
+
+@query(f"WITH {MESSAGES}, b AS (SELECT DISTINCT conv_id, session_id FROM m WHERE conv_id % 5 <> 0) SELECT session_id, substring(repeat('p', CAST(60 + conv_id % 50 AS INT)), 1, 80) AS title, repeat('p', CAST(60 + conv_id % 50 AS INT)) || ' -> s' || (conv_id % 3) AS summary, 0.7::DOUBLE AS confidence, 'pitfall,c' || (conv_id % 2) AS tags FROM b")
+def pitfall_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).select("conv_id", "session_id").distinct().select("session_id", F.expr(_PIT).alias("reply"))
+    cards = distill.pitfalls(distill.candidates(m, distill.PITFALL))
+    return cards.select("session_id", "title", F.col("summary_line").alias("summary"), "confidence", F.array_join("tags", ",").alias("tags"))
+
+
+@query("WITH f AS (SELECT doc_id, sha256('issue-draft:' || source || ':' || '{\"t\":\"' || md5(text) || '\"}') AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS results FROM f GROUP BY 1")
+def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", distill.fingerprint("issue-draft", F.col("source"), F.to_json(F.struct(F.md5(F.col("text").cast("binary")).alias("t")))).alias("fingerprint"))
+    n = rows.groupBy("fingerprint").agg(F.count("*").alias("results"))
+    return distill.first_of_fingerprint(rows, None, "doc_id").join(n, "fingerprint").select("fingerprint", "doc_id", "results")
+
+
+@query("SELECT source, count(DISTINCT text) AS processed, count(*) FILTER (n_chars > 50) AS produced, count(*) FILTER (n_chars <= 50) AS skipped FROM documents GROUP BY 1")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count_distinct("text").alias("processed"), F.count_if(F.col("n_chars") > 50).alias("produced"), F.count_if(F.col("n_chars") <= 50).alias("skipped"))
+
+
+@query("WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'issue-draft' ELSE 'pitfall-card' END AS type FROM documents), s AS (SELECT * FROM (VALUES ('file', 'issue-draft'), ('file', 'pitfall-card'), ('board', 'issue-draft')) v(sink, type)) SELECT sink, type, count(*) AS delivered FROM r JOIN s USING (type) GROUP BY ALL")
+def sink_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "issue-draft").otherwise("pitfall-card").alias("type"))
+    s = spark.createDataFrame([("file", "issue-draft"), ("file", "pitfall-card"), ("board", "issue-draft")], "sink string, type string")
+    return r.groupBy("type").agg(F.count("*").alias("delivered")).join(s, "type").select("sink", "type", "delivered")
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+#: Samples from labels, predictions from their documents: the same lists in both engines.
+_EXPECTED = "CASE WHEN toxic = 1 THEN ['Toxic ', 'toxic', 'speech'] ELSE ['prose'] END || CASE WHEN quality = 0 THEN ['Junk'] ELSE ['clean'] END"
+_PREDICTED = "CASE WHEN contains(text, '###') OR contains(text, '!!') THEN [' junk'] ELSE ['CLEAN'] END || CASE WHEN length(text) % 2 = 0 THEN ['prose', 'speech'] ELSE ['toxic'] END"
+_PAIRS = f"p AS (SELECT doc_id AS id, {_EXPECTED} AS e, {_PREDICTED} AS y, text FROM labels JOIN documents USING (doc_id)), n AS (SELECT id, text, list_distinct(list_transform(e, lambda x: lower(trim(x)))) AS e, list_distinct(list_transform(y, lambda x: lower(trim(x)))) AS y FROM p)"
+
+
+def _sql_arrays(sql: str) -> str:
+    """DuckDB's list literals as Spark's, in the way that the two texts above need."""
+    import re
+
+    return re.sub(r"\[([^\]]*)\]", r"array(\1)", sql)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return d.select(F.col("doc_id").alias("id"), F.expr(_sql_arrays(_EXPECTED)).alias("e"), F.expr(_sql_arrays(_PREDICTED)).alias("y"), "text", "toxic", "quality")
+
+
+def _rate(a: str, b: str) -> str:
+    return f"round(CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / {b} END, 6)"
+
+
+_BOTH = "len(list_intersect(e, y))"
+_SCORES = f"{_rate(_BOTH, 'len(y)')} AS precision_, {_rate(_BOTH, 'len(e)')} AS recall_, {_rate(f'(len(y) - {_BOTH})', 'greatest(len(y), 1)')} AS false_positive_rate, {_rate(f'(len(e) - {_BOTH})', 'greatest(len(e), 1)')} AS false_negative_rate"
+
+
+@query(f"WITH {_PAIRS} SELECT id, {_SCORES} FROM n")
+def eval_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for n, c in evaluation.set_scores(F.col("e"), F.col("y")).items()])
+
+
+@query(f"WITH {_PAIRS}, s AS (SELECT id, {_SCORES} FROM n) SELECT count(*) AS samples, round(avg(precision_), 6) AS precision_, round(avg(recall_), 6) AS recall_, round(avg(false_positive_rate), 6) AS false_positive_rate, round(avg(false_negative_rate), 6) AS false_negative_rate FROM s")
+def eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = eval_signal(spark, sf_dir)
+    return evaluation.averages(s, [c for c in s.columns if c != "id"])
+
+
+_RANKED = "r AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY (CASE WHEN x = 'toxic' THEN 0.0 ELSE (length(x) % 3) / 4.0 END) DESC, o) AS rn FROM (SELECT id, lower(trim(unnest(y))) AS x, generate_subscripts(y, 1) AS o FROM p))"
+
+
+@query(f"WITH {_PAIRS}, {_RANKED} SELECT id, max(CASE WHEN x = 'speech' AND rn <= 1 THEN 1 ELSE 0 END) AS top1, max(CASE WHEN x = 'speech' AND rn <= 3 THEN 1 ELSE 0 END) AS top3 FROM r GROUP BY id")
+def eval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    said = F.transform("y", lambda x, i: F.struct(i.alias("ord"), x.alias("key"), F.when(C.normalize_key(x) != "toxic", (F.char_length(C.normalize_key(x)) % 3) / 4).alias("confidence")))
+    return p.select("id", evaluation.top_k_hit(F.lit("Speech"), said, 1).alias("top1"), evaluation.top_k_hit(F.lit("Speech"), said, 3).alias("top3"))
+
+
+@query(f"WITH {_PAIRS}, k AS (SELECT *, ['clean', 'toxic'] AS a FROM n), z AS (SELECT id, len(e) AS m, len(list_filter(e, lambda x: NOT list_contains(y, x))) AS leaked, len(y) AS r, len(list_filter(y, lambda x: NOT list_contains(e, x) AND NOT list_contains(a, x))) AS over_ FROM k) SELECT id, {_rate('leaked', 'greatest(m, 1)')} AS leak_rate, {_rate('over_', 'greatest(r, 1)')} AS over_redaction_rate FROM z")
+def eval_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evaluation.redaction_scores(F.col("e"), F.col("y"), F.array(F.lit("clean"), F.lit("Toxic")))
+    return _pairs(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for n, c in s.items()])
+
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@query("WITH b AS (SELECT item_id, substring(text, 1, 80) AS t, substring(text, 1 + CAST(item_id % 40 AS INT), 80) AS u FROM benchmark), w AS (SELECT item_id, " + _WORDS.format(t="t") + " AS a, " + _WORDS.format(t="u") + " AS b FROM b), j AS (SELECT item_id, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM w) SELECT item_id, round(j, 6) AS jaccard, CASE WHEN j >= 0.6 THEN 1 ELSE 0 END AS title_hit FROM j")
+def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("t"), F.expr("substring(text, 1 + CAST(item_id % 40 AS INT), 80)").alias("u"))
+    j = C.jaccard(C.words(F.col("t")), C.words(F.col("u")))
+    return b.select("item_id", F.round(j, 6).alias("jaccard"), evaluation.title_hit(F.col("t"), F.col("u"), F.lit(True), F.lit(True)).alias("title_hit"))
+
+
+@query("SELECT label.doc_id AS id, CASE WHEN (quality = 1) = (length(text) > 400) THEN 1 ELSE 0 END AS should_issue_accuracy, round(abs(least(1.0, length(text) / 2000.0) - 0.5), 6) AS actionability_gap FROM labels label JOIN documents USING (doc_id)")
+def eval_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _pairs(spark, sf_dir)
+    gap = F.abs(C.clamp01(F.char_length("text") / 2000.0) - 0.5)
+    return d.select("id", F.when((F.col("quality") == 1) == (F.char_length("text") > 400), 1).otherwise(0).alias("should_issue_accuracy"), F.round(gap, 6).alias("actionability_gap"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}') || regexp_extract_all(t, '(?i)sk[-_][a-z0-9-]+') || regexp_extract_all(t, '(?i)\\b(?:user|order|session)[-_]?\\d{3,}\\b'))), ',') AS tokens FROM (SELECT doc_id, " + PROBE + " || ' user-' || (1000 + doc_id) AS t FROM documents)")
+def sensitive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = probed(spark, sf_dir).withColumn("t", F.expr("t || ' user-' || (1000 + doc_id)"))
+    return d.select("doc_id", F.array_join(F.array_sort(evaluation.sensitive_tokens(F.col("t"))), ",").alias("tokens"))
+
+
+# --- tool calls and their results ------------------------------------------------------------------------------------
+
+
+@query("WITH u AS (SELECT user_id, event_id AS use_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), j AS (SELECT use_id, arg_max(value, (r.ts, r.event_id)) AS output FROM u JOIN r ON u.user_id = r.user_id AND r.ts > u.ts AND r.ts <= u.ts + INTERVAL 12 HOUR GROUP BY use_id) SELECT u.use_id, j.output FROM u LEFT JOIN j USING (use_id)")
+def tool_result_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.sources.transcripts import latest_results
+
+    e = table(spark, sf_dir, "events")
+    use = e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("use_id"), "ts")
+    result = e.filter("event_type = 'purchase'").select("user_id", "event_id", "value", F.col("ts").alias("at"))
+    return latest_results(use, result, "user_id", "use_id", "ts", "at", "event_id", "value", 12 * 3600)

@@ -1,0 +1,66 @@
+"""Transcripts: lines of JSON to messages and tool calls with their results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+ITEM = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
+ROW = f"type string, uuid string, timestamp string, cwd string, sessionId string, gitBranch string, toolUseID string, parentToolUseID string, message struct<role:string,content:string>, data struct<type:string,output:string,fullOutput:string>, toolUseResult struct<stdout:string,stderr:string>"
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each line of each file, in order. A last line that is cut off is left out; another bad line fails the file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.split("value", r"\r?\n", -1).alias("lines"))
+    lines = files.select("file", "mtime", F.posexplode("lines").alias("ord", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    last = Window.partitionBy("file")
+    parsed = lines.withColumns({"j": F.try_parse_json("line"), "end": F.max("ord").over(last)})
+    cut = (F.col("ord") == F.col("end")) & ~F.col("line").rlike(r"[\]}]\z")
+    checked = parsed.filter(F.col("j").isNotNull() | ~cut).withColumn("line", F.when(F.col("j").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" line "), F.col("ord")))).otherwise(F.col("line")))
+    return checked.filter(F.startswith("line", F.lit("{"))).select("file", "mtime", "ord", F.from_json("line", ROW).alias("r")).select("file", "mtime", "ord", "r.*")
+
+
+def messages(found: DataFrame) -> DataFrame:
+    """User and assistant messages with text; results of tools alone make no message."""
+    items = F.from_json(F.col("message.content"), ITEM)
+    text = F.array_join(F.transform(F.filter(items, lambda i: (i["type"] == "text") & (F.trim(i["text"]) != "")), lambda i: i["text"]), "\n")
+    whole = F.when(F.startswith(F.trim("message.content"), F.lit("[")), text).otherwise(F.col("message.content"))
+    used = F.size(F.filter(items, lambda i: i["type"].isin("tool_use", "thinking")))
+    out = found.filter(F.col("type").isin("user", "assistant")).withColumns({"content": whole, "used": F.when(F.col("type") == "assistant", F.coalesce(used, F.lit(0))).otherwise(0)})
+    out = out.filter((F.coalesce(F.length("content"), F.lit(0)) > 0) | (F.col("used") > 0))
+    n = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
+    first = F.first("sessionId", ignorenulls=True).over(Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return out.select("file", "ord", F.coalesce("uuid", F.concat(F.coalesce(first, F.lit("session")), F.lit("-"), n)).alias("id"), F.col("type").alias("role"), F.coalesce(F.try_to_timestamp("timestamp"), F.col("mtime")).alias("timestamp"), "content")
+
+
+def tool_calls(found: DataFrame) -> DataFrame:
+    """Each tool call with the last output that came after it; an error once said stays."""
+    items = F.from_json(F.col("message.content"), ITEM)
+    spread = found.select("file", "ord", "type", F.explode(items).alias("i"), F.col("toolUseResult.stdout").alias("stdout"), F.col("toolUseResult.stderr").alias("stderr"))
+    calls = spread.filter("type = 'assistant' AND i.type = 'tool_use'").select("file", F.col("ord").alias("used_at"), F.col("i.id").alias("id"), F.col("i.name").alias("name"), F.col("i.input").alias("input"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    body = F.when(~blank(F.col("i.content")), F.col("i.content")).otherwise(F.col("stdout"))
+    error = F.when(F.coalesce(F.col("i.is_error"), F.lit(False)), F.when(~blank(F.col("stderr")), F.col("stderr")).when(~blank(body), body).otherwise("tool result error"))
+    results = spread.filter("type = 'user' AND i.type = 'tool_result'").select("file", "ord", F.col("i.tool_use_id").alias("id"), body.alias("output"), error.alias("error"))
+    progress = found.filter("type = 'progress'").select("file", "ord", F.coalesce("parentToolUseID", "toolUseID").alias("id"), F.coalesce("data.fullOutput", "data.output").alias("output"), F.lit(None).cast("string").alias("error"))
+    both = results.unionByName(progress).withColumn("output", F.when(~blank(F.col("output")), F.col("output")))
+    joined = calls.join(both, ["file", "id"], "left").filter(F.col("ord").isNull() | (F.col("ord") > F.col("used_at")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c)
+    found = joined.groupBy("file", "id").agg(last("output"), last("error"))
+    return calls.join(found, ["file", "id"], "left")
+
+
+def latest_results(use: DataFrame, result: DataFrame, key: str, use_id: str, used_at: str, at: str, tie: str, value: str, within_s: int) -> DataFrame:
+    """For each use the last result of its key that came after it, within a time.
+
+    The join is on the key and a time bucket as long as the window (a use looks in its own bucket and the next), so rows of
+    one busy key meet only those of their time.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (within_s * 1_000_000)).cast("long")
+    left = use.withColumn("__b", F.explode(F.array(bucket(used_at), bucket(used_at) + 1)))
+    right = result.withColumn("__b", bucket(at))
+    late = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(used_at).cast("timestamp"))
+    met = left.join(right, [key, "__b"]).filter((late > 0) & (late <= within_s * 1_000_000))
+    best = met.groupBy(use_id).agg(F.max_by(value, F.struct(at, tie)).alias("output"))
+    return use.select(use_id).join(best, use_id, "left")

@@ -17,7 +17,8 @@ def rows(spark: SparkSession, path: str) -> DataFrame:
     last = Window.partitionBy("file")
     parsed = lines.withColumns({"j": F.try_parse_json("line"), "end": F.max("ord").over(last)})
     cut = (F.col("ord") == F.col("end")) & ~F.col("line").rlike(r"[\]}]\z")
-    checked = parsed.filter(F.col("j").isNotNull() | ~cut).withColumn("line", F.when(F.col("j").isNull(), F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" line "), F.col("ord")))).otherwise(F.col("line")))
+    bad = F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" line "), F.col("ord")))
+    checked = parsed.withColumn("line", F.when(F.col("j").isNotNull(), F.col("line")).when(~cut, bad))
     return checked.filter(F.startswith("line", F.lit("{"))).select("file", "mtime", "ord", F.from_json("line", ROW).alias("r")).select("file", "mtime", "ord", "r.*")
 
 

@@ -78,7 +78,7 @@ def test_toxicity_edges(spark):
 
 @pytest.mark.parametrize("limit", [20_000, 4])
 def test_join_of_documents(spark, limit):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(400)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
     docs = spark.createDataFrame(docs.collect(), docs.schema)
     want = jaccard.brute({r.doc_id: r.text for r in docs.collect()})
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs, limit=limit).collect()}
@@ -90,7 +90,7 @@ def test_join_of_near_copies(spark, words, percent):
     r = random.Random(words)
     vocabulary = [f"w{i}" for i in range(400)]
     texts, common = {}, [r.choice(vocabulary) for _ in range(50)]
-    for i in range(120):
+    for i in range(80):
         base = [r.choice(vocabulary) for _ in range(r.choice([1, 2, 3, 8, 12, 40, 130]))] if i % 4 == 0 else list(base)
         own = list(base)
         for _ in range(r.choice([0, 0, 1, 2, 5])):
@@ -166,11 +166,11 @@ def test_mixture_edges(spark):
     assert mixing.mixed(docs.filter("false"), one)[0].count() == 0
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     cols, n = docs.columns, docs.count()
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
+        out = stage(spark, docs, sf)
         if i < 4:
             assert out.columns == cols, name
             out = spark.createDataFrame(out.collect(), docs.schema)

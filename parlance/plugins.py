@@ -1,0 +1,127 @@
+"""User-defined extractors and sinks, and the routing of requests to providers with fallback."""
+
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Extractor:
+    """A named function from a prompt to a reply; it runs in Arrow batches, prompt by prompt, and a failure costs its prompt only."""
+
+    id: str
+    version: str
+    types: tuple[str, ...]
+    reply: Callable[[str], str]
+
+    def replies(self, prompts: DataFrame) -> DataFrame:
+        """session_id, reply and error of each (session_id, prompt)."""
+        call = self.reply
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple[str | None, str | None]] = []
+                for p in b.column(1).to_pylist():
+                    try:
+                        out.append((call(p), None))
+                    except Exception as e:
+                        out.append((None, f"{type(e).__name__}: {e}"))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r for r, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())], names=["session_id", "reply", "error"])
+
+        return prompts.select("session_id", "prompt").mapInArrow(rows, "session_id string, reply string, error string")
+
+
+class Registry:
+    def __init__(self) -> None:
+        self.known: dict[str, Extractor] = {}
+
+    def add(self, e: Extractor) -> None:
+        if e.id in self.known:
+            raise ValueError(f"extractor {e.id} is registered already")
+        self.known[e.id] = e
+
+    def load(self, path: str, config: dict | None = None) -> Extractor:
+        """``package.module:factory``, called with the configuration."""
+        module, _, name = path.partition(":")
+        e = getattr(importlib.import_module(module), name or "factory")(config or {})
+        self.add(e)
+        return e
+
+    def chosen(self, ids: list[str] | None = None) -> list[Extractor]:
+        """All, or those named; unknown names choose nothing."""
+        return [e for e in self.known.values() if ids is None or e.id in ids]
+
+
+class ProviderError(Exception):
+    """kind: auth, format, rate_limit, timeout or other."""
+
+    def __init__(self, kind: str, message: str = "", retry_after_s: float | None = None):
+        super().__init__(message or kind)
+        self.kind, self.retry_after_s = kind, retry_after_s
+
+
+def error_of_status(status: int, retry_after: str | None = None) -> ProviderError:
+    kind = {401: "auth", 403: "auth", 429: "rate_limit", 408: "timeout", 504: "timeout"}.get(status, "other")
+    wait = float(retry_after) if kind == "rate_limit" and retry_after and retry_after.replace(".", "", 1).isdigit() else None
+    return ProviderError(kind, f"status {status}", wait)
+
+
+@dataclass
+class Router:
+    """Providers in order: the first that answers counts. Errors of credentials or format end it; others pass to the next."""
+
+    providers: list[tuple[str, Callable[[str], str]]]
+    tried: list[str] = field(default_factory=list)
+
+    def __call__(self, prompt: str) -> str:
+        failed: list[Exception] = []
+        for name, call in self.providers:
+            self.tried.append(name)
+            try:
+                return call(prompt)
+            except ProviderError as e:
+                if e.kind in ("auth", "format"):
+                    raise
+                failed.append(e)
+        if len(failed) == 1:
+            raise failed[0]
+        raise ExceptionGroup("every provider failed", failed) if failed else ValueError("no providers")
+
+
+@dataclass
+class Sink:
+    """Takes the results of the types it supports."""
+
+    name: str
+    types: tuple[str, ...]
+    deliver: Callable[[DataFrame], None]
+
+
+def file_sink(name: str, folder: str, types: tuple[str, ...]) -> Sink:
+    """JSON lines of the results, and the markdown of those that have it, by repository."""
+    def deliver(rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("repo").json(f"{folder}/results")
+        rows.filter(F.col("markdown").isNotNull()).select("repo", F.concat("markdown", F.lit("\n")).alias("value")).write.mode("append").partitionBy("repo").text(f"{folder}/markdown")
+
+    return Sink(name, types, deliver)
+
+
+def run_sinks(results: DataFrame, sinks: list[Sink]) -> list[dict]:
+    """Each sink gets its results; a failing sink counts all of its rows as failed, the others go on."""
+    report = []
+    for s in sinks:
+        own = results.filter(F.col("type").isin(*s.types))
+        n = own.count()
+        try:
+            if n:
+                s.deliver(own)
+            report.append({"sink": s.name, "delivered": n, "failed": 0, "error": None})
+        except Exception as e:
+            report.append({"sink": s.name, "delivered": 0, "failed": n, "error": str(e)[:200]})
+    return report

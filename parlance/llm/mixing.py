@@ -145,7 +145,7 @@ def fit_classifier(docs: DataFrame, membership: DataFrame, text_col: str = "text
     weights = np.round(np.where((counts >= LEAST_ROWS) & (weights > LEAST_WEIGHT), weights, 0), 3)
     model = Classifier(domains, weights, np.zeros((d, 2 * d + 3)))
     rest = model.evidence(rows.filter("half").select("doc_id", "domain", "text")).select("doc_id", "domain", "__x").toPandas().sort_values(["doc_id", "domain"])
-    x, y = np.array(rest["__x"].tolist()).reshape(len(rest), -1), np.array([domains.index(k) for k in rest["domain"]], int)
+    x, y = np.array(rest["__x"].tolist()).reshape(len(rest), 2 * d + 3), np.array([domains.index(k) for k in rest["domain"]], int)
     if len(x):
         model.coef = multinomial(x, y, d)
     # the sample has other shares of the domains than the labelled table

@@ -201,8 +201,8 @@ def labelled(labels: DataFrame, label: str, folds: int, held: int, sample: int)
 
 def trained(kept: DataFrame, known: DataFrame) -> Gam:
     """The model of the known rows of a feature table; rows and features are bounded."""
-    rows = kept.join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id")
-    return fit(np.array(rows["x"].tolist()).reshape(len(rows), -1), rows["y"].to_numpy(float))
+    rows = kept.join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")
+    return fit(np.array(rows["x"].tolist()).reshape(len(rows), len(FEATURES)), rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

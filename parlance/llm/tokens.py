@@ -30,7 +30,8 @@ from parlance.llm.common import documents, map_arrow, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SHIFT = 10.0
-NODES = 400_000
+NODES = 1_000_000
+MISSING = object()
 PRE_TOKEN = re.compile(r" ?[^\s]+|\s(?![^\s])|\s+?(?= ?[^\s])|\s+")
 
 
@@ -50,29 +51,35 @@ class Trie:
     """Nodes are numbers; ``best`` and ``pieces`` hold the forward score and piece count of each node's prefix."""
 
     def __init__(self, vocabulary: dict[bytes, float]):
-        self.vocabulary, self.longest = vocabulary, max(map(len, vocabulary))
+        # pieces with their scores, and all that pieces end with: looking back from a byte stops where no piece can go on
+        self.endings: dict[bytes, float | None] = dict.fromkeys(p[i:] for p in vocabulary for i in range(1, len(p)))
+        self.endings |= vocabulary
         self.clear()
 
     def clear(self) -> None:
         self.children: dict[int, int] = {}
         self.best, self.pieces = [0.0], [0]
         self.terminal: dict[str, tuple[int, float, int]] = {}
+        self.after_blank: dict[str, tuple[int, float, int]] = {}
 
     def insert(self, token: bytes) -> int:
         """The node of a pre-token; only the part that no pre-token before shares makes nodes."""
-        children, best, pieces, get = self.children, self.best, self.pieces, self.vocabulary.get
+        children, best, pieces, get = self.children, self.best, self.pieces, self.endings.get
         node, path = 0, [0]
         for d, byte in enumerate(token):
             nxt = children.get(node << 8 | byte)
             if nxt is None:
-                top, n = -1e300, 0
-                for a in range(max(0, d + 1 - self.longest), d + 1):
-                    s = get(token[a : d + 1])
-                    if s is not None:
-                        at = path[a]
-                        s += best[at]
-                        if s > top + 1e-9 or (s > top - 1e-9 and pieces[at] + 1 < n):
-                            top, n = s, pieces[at] + 1
+                top, n, end = -1e300, 0, d + 1
+                for a in range(d, -1, -1):
+                    s = get(token[a:end], MISSING)
+                    if s is None:
+                        continue
+                    if s is MISSING:  # no piece ends like this
+                        break
+                    at = path[a]
+                    s += best[at]
+                    if s > top + 1e-9 or (s > top - 1e-9 and pieces[at] < n):
+                        top, n = s, pieces[at] + 1
                 nxt = children[node << 8 | byte] = len(best)
                 best.append(top)
                 pieces.append(n)
@@ -83,22 +90,32 @@ class Trie:
     def add(self, part: str) -> tuple[int, float, int]:
         """Tokens, score and pre-tokens of what stands between two blanks, kept as the terminal counts of its pre-tokens."""
         nodes = [self.insert(p.encode("utf-8", "surrogatepass")) for p in PRE_TOKEN.findall(part)]
-        got = self.terminal[part] = (sum(self.pieces[n] for n in nodes), sum(self.best[n] for n in nodes), len(nodes))
+        if len(nodes) == 1:
+            got = (self.pieces[nodes[0]], self.best[nodes[0]], 1)
+        else:
+            got = (sum(self.pieces[n] for n in nodes), sum(self.best[n] for n in nodes), len(nodes))
+        if not part.startswith(" "):
+            self.terminal[part] = got
         return got
 
     def count(self, text: str) -> tuple[int, float, int]:
         """Tokens, log score and pre-tokens of a text."""
-        if len(self.best) > NODES or len(self.terminal) > NODES:
+        if len(self.best) > NODES or len(self.terminal) + len(self.after_blank) > NODES:
             self.clear()
-        first, *rest = text.split(" ")
-        parts = [first, *(" " + x for x in rest)] if text else []
-        if "  " in text or text.endswith(" "):  # runs of blanks belong together
-            parts = PRE_TOKEN.findall(text)
-        terminal = self.terminal
-        for p in set(parts).difference(terminal):
-            self.add(p)
-        found = [terminal[p] for p in parts]
-        return sum(x[0] for x in found), sum(x[1] for x in found), sum(x[2] for x in found)
+        if not text:
+            return 0, 0.0, 0
+        if "  " in text or text[-1] == " ":  # runs of blanks belong together
+            found = [self.terminal.get(p) or self.add(p) for p in PRE_TOKEN.findall(text)]
+        else:
+            first, *rest = text.split(" ")
+            held = self.after_blank
+            for p in set(rest).difference(held):
+                held[p] = self.add(" " + p)
+            found = list(map(held.__getitem__, rest))
+            if first:
+                found.append(self.terminal.get(first) or self.add(first))
+        n, score, parts = map(sum, zip(*found, strict=True)) if found else (0, 0.0, 0)
+        return n, score, parts
 
 
 @lru_cache(maxsize=1)

@@ -174,3 +174,10 @@ def test_templates_generalise_words(spark):
     rows = [(i, f"own words {chr(97 + i)} here {chr(110 + i)}\nthe user named {n} has signed in from the west side gate today") for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(r["__dropped"] == [1] for r in templates.deduped(df).collect())
+
+
+def test_a_line_recurs_whatever_it_hashes_to(spark):
+    rows = [(100 * k + i, f"shared passage number {chr(97 + k)} has its place here\nown {chr(97 + k)} words {chr(97 + i)} stand here and so do some more of them") for k in range(16) for i in range(5)]
+    rows += [(10_000 + i, rows[0][1]) for i in range(30)]  # copies take nothing from the count
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["__dropped"][:1] == [0] for r in templates.deduped(df).collect())

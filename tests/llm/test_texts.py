@@ -181,3 +181,14 @@ def test_a_line_recurs_whatever_it_hashes_to(spark):
     rows += [(10_000 + i, rows[0][1]) for i in range(30)]  # copies take nothing from the count
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert all(r["__dropped"][:1] == [0] for r in templates.deduped(df).collect())
+
+
+def test_several_templates_of_a_leaf(spark):
+    names = "anna bert carl dora emil fritz gerd hans".split()
+    kinds = ["the user named {} has signed in from the west side gate today", "the user named {} could not open any room with his old key"]
+    rows = [(10 * k + i, f"own words {chr(97 + i)} here {chr(110 + i)} {chr(97 + k)}\n{kind.format(n)}") for k, kind in enumerate(kinds) for i, n in enumerate(names)]
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows += [(100 + i, f"{word()} {word()} {word()}\nthe user named " + " ".join(word() for _ in range(10))) for i in range(60)]
+    out = {x.doc_id: x["__dropped"] for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == ([1] if i < 100 else []) for i in out)

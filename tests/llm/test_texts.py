@@ -192,3 +192,18 @@ def test_several_templates_of_a_leaf(spark):
     rows += [(100 + i, f"{word()} {word()} {word()}\nthe user named " + " ".join(word() for _ in range(10))) for i in range(60)]
     out = {x.doc_id: x["__dropped"] for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == ([1] if i < 100 else []) for i in out)
+
+
+def test_a_passage_goes_from_documents_that_are_mostly_it(spark):
+    word = lambda i, k: "".join(chr(97 + (i * 7 + k * 11 + j * (i + 3)) % 26) for j in range(7))
+    passage = " ".join(word(k, k) for k in range(100))
+    rows = [(i, f"{passage}\n" + " ".join(word(i + 40, k + 9 * i) for k in range(24))) for i in range(2)]  # 81% passage, two documents
+    other = "this program is free software and comes without any warranty at all so please read on"
+    rows += [(10 + i, f"{other}\n" + " ".join(word(i + 60, k + 5 * i) for k in range(30))) for i in range(3)]
+    rows += [(20 + i, f"{other}\nx{chr(97 + i)}") for i in range(2)]  # nearly nothing else
+    base = [" ".join(word(i + 100, k + 3 * i) for k in range(12)) for i in range(20)]
+    rows += [(30 + i, "\n".join([*base[:i], f"another {word(i, 5)} line {word(i, 6)}", *base[i + 1 :]])) for i in range(4)]  # near copies
+    pair = [" ".join(word(i + 300, k + 3 * i) for k in range(60 if i == 1 else 12)) for i in range(9)]
+    rows += [(40 + i, "\n".join([*pair, f"another {word(i, 7)} line {word(i, 9)}"])) for i in range(2)]  # a pair of near copies
+    out = {x.doc_id: x["__dropped"] for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == ([0] if i < 30 else []) for i in out)

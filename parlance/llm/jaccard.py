@@ -133,7 +133,7 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """key, doc_id, the size and name of each document's set, and its block digests."""
+    """key, doc_id, a hash of the text, the size and name of each document's set, and its block digests."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for b in batches:
@@ -145,10 +145,10 @@ def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
                 # copies in one batch put their digests down once
                 sigs.append(np.zeros(0, np.uint64) if name in held else blocks(h, percent))
                 held[name] = h
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.int64()), lists(sigs)], names=["key", "doc_id", "n", "sid", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.int64()), lists(sigs)], names=["key", "doc_id", "kt", "n", "sid", "sigs"])
 
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "doc_id", text_of(docs).alias("text"))
-    return map_arrow(base, rows, "key long, doc_id long, n long, sid long, sigs array<long>")
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "doc_id", text_of(docs).alias("text"), F.xxhash64(text_of(docs)).alias("kt"))
+    return map_arrow(base, rows, "key long, doc_id long, kt long, n long, sid long, sigs array<long>")
 
 
 class Region:
@@ -347,6 +347,11 @@ def linked_sets(docs: DataFrame, held: DataFrame, words: int = WORDS, percent: i
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = REGION) -> DataFrame:
     """doc_id, n_shingles, component_id, and copies: the documents with an equal set."""
+    return rooted_rows(docs, words, percent, limit).drop("kt", "root")
+
+
+def rooted_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = REGION) -> DataFrame:
+    """What ``joined`` returns, the hash of the text, and the set that names the component (null for one document alone)."""
     held = cut(points(docs, words, percent))
     by_set = held.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = cut(linked_sets(docs, held, words, percent, limit))
@@ -354,24 +359,33 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: i
     rooted = cut(rooted.select("sid", "root", "least", "copies"))
     # a component of a few sets at a time: sets, not documents, meet here, and the minimum is combined before the shuffle
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    several = rooted.join(least, "root").filter("sets > 1 OR copies > 1").select("sid", "component_id", "copies", "sets")
+    several = rooted.join(least, "root").filter("sets > 1 OR copies > 1").select("sid", "root", "component_id", "copies", "sets")
     salted = several.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    mine = held.select("doc_id", "n", "sid", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    mine = held.select("doc_id", "kt", "n", "sid", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     out = mine.join(salted, ["sid", "salt"], "left")
     found = (F.col("n") > 0) & F.col("copies").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(found, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"), F.when(found, F.col("sets")).otherwise(F.lit(1)).cast("long").alias("component_sets"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(found, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"), F.when(found, F.col("sets")).otherwise(F.lit(1)).cast("long").alias("component_sets"), "kt", F.when(found, F.col("root")).alias("root"))
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, that have the least id of their component; of rows that share that id, one.
+    """The documents, with all their columns, one of each component: that of the least id (null above all), and of texts that share it
+    that of the least hash; of rows that repeat with the same id and text, one.
 
-    Only ids travel: those that go are few or many, but each is one number.
+    Only ids and hashes of texts travel: those that go are few or many, but each is two numbers.
     """
     own = docs.columns
-    found = joined(docs.select("doc_id", "text"), words, percent)
-    gone = found.filter((F.col("component_id") < F.col("doc_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept.select(*own)
+    found = rooted_rows(docs.select("doc_id", "text"), words, percent).filter("root IS NOT NULL")
+    found = cut(found.groupBy("root", "doc_id", "kt").agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    both = found.join(first, "root").withColumn("stays", order.eqNullSafe(F.col("first")))
+    named = cut(both.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("kt").alias("__kt"), F.col("stays").alias("__stays")))
+    keyed = docs.withColumn("__h", F.xxhash64(text_of(docs)))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kt"))
+    alone = keyed.join(named, same, "left_anti")
+    # the first of its component, but in several rows
+    again = keyed.join(named.filter("__stays"), same, "left_semi").dropDuplicates(["doc_id", "__h"])
+    return alone.select(*own).unionByName(again.select(*own))
 
 
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,3 +181,11 @@ def test_pipeline(spark, sf):
             docs, n = out, out.count()
         else:
             assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (None, text(1) + " end"), (None, text(2)), (5, text(1)), (5, text(3)), (6, text(4)), (6, text(4)), (None, text(5)), (None, text(5)), (7, None), (7, None), (8, text(6)), (8, text(7)), (9, text(7))]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted((x.doc_id or -1, x.text or "") for x in jaccard.first_of_each(df, 5, 80).collect())
+    assert kept == sorted([(1, text(1)), (-1, text(2)), (5, text(3)), (6, text(4)), (-1, text(5)), (7, ""), (7, ""), (8, text(6)), (8, text(7))])

@@ -17,6 +17,7 @@ documents' other columns are carried along, also under names used here.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import cut, documents, held, literal
 
+log = logging.getLogger(__name__)
 #: Target weights of the domains that quality and toxicity labels make.
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
 SAMPLE = 2_000
 BUCKETS = 1 << 15
 STEPS, TOLERANCE = 40, 1e-6
-#: A document is drawn on at most so often; a domain with less than SUPPLY of the tokens doesn't bound the mixture's size.
-MOST_RATE, SUPPLY = 4.0, 0.02
+#: A document is drawn on at most so often.
+MOST_RATE = 4.0
 #: Words seen in fewer labelled rows of a domain, or hardly more often there than elsewhere, weigh nothing.
 LEAST_ROWS, LEAST_WEIGHT, MOST_EVIDENCE = 3, 0.7, 12.0
 
@@ -174,7 +176,7 @@ def rate_of(steps: list[np.ndarray]) -> Column:
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None) -> list[np.ndarray]:
     """The steps of the fit over rows of ``__tokens`` and ``__p``.
 
-    Without ``total``, the mixture is as large as it can be with no domain of some supply drawn on beyond what it has. The
+    Without ``total``, the mixture is as large as it takes to hold the domain of the greatest target once; the others are scaled to it. The
     fit ends when the targets are met, or when steps no longer bring it nearer (targets out of reach at these rates).
     """
     d = len(domains)
@@ -188,7 +190,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     has = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
     if has.sum() <= 0:
         return []
-    goal = w * (total if total is not None else min((h / x for h, x in zip(has, w, strict=True) if x > 0 and h >= SUPPLY * has.sum()), default=has.sum()))
+    goal = w * (total if total is not None else max(((x, h / x) for h, x in zip(has, w, strict=True) if h > 0 and x > 0), default=(0, has.sum()))[1])
     square = lambda row: np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
     active = [F.sum(F.when((F.col("__r") > 0) & (F.col("__r") < MOST_RATE), t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
     best: list[np.ndarray] = []
@@ -204,6 +206,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
             best, now, moment, size = [*best, step], new, square(got), min(1.0, 2 * size)
         else:  # rates that a step brings back from 0 can carry it too far
             size /= 2
+    if (left := off(now)) > 1e-3:
+        log.warning("targets missed by up to %.4f of the mixture: wanted %s, got %s tokens at rates up to %g", left, dict(zip(domains, goal.round(1).tolist(), strict=True)), dict(zip(domains, now.round(1).tolist(), strict=True)), MOST_RATE)
     return best
 
 
@@ -216,7 +220,7 @@ def copies_of(rate: Column, key: Column) -> Column:
 def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text_col: str = "text", least_wanted: int = 0) -> tuple[DataFrame, list[str]]:
     """The documents with ``__tokens``, ``__p``, ``__rate`` and ``__copies``; also the domains in the order of ``__p``.
 
-    A document whose likeliest domain has a greater target than share now gets ``least_wanted`` copies at least.
+    A document whose likeliest domain has a greater target than share now, or the greatest target of all, gets ``least_wanted`` copies at least.
     """
     targets = targets or TARGETS
     model = fit_classifier(docs, membership, text_col)
@@ -228,7 +232,8 @@ def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | No
     if least_wanted and model.domains:
         has = members.agg(*[F.sum(F.col("__tokens") * F.get("__p", F.lit(k))).alias(f"a{k}") for k in range(len(model.domains))]).first()
         has = [x or 0.0 for x in has]
-        wanted = [targets.get(name, 0.0) * sum(has) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, has, strict=True)]
+        most = max(targets.get(n, 0.0) for n in model.domains)
+        wanted = [targets.get(name, 0.0) == most or targets.get(name, 0.0) * sum(has) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, has, strict=True)]
         likeliest = F.array_position("__p", F.array_max("__p")).cast("int") - 1
         out = out.withColumn("__copies", F.when(F.get(literal([str(w).lower() for w in wanted], "boolean"), likeliest), F.greatest("__copies", F.lit(least_wanted))).otherwise(F.col("__copies")))
         out = out.withColumn("__copies", held(F.col("__copies")))

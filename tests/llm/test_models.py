@@ -189,3 +189,13 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
     kept = sorted((x.doc_id or -1, x.text or "") for x in jaccard.first_of_each(df, 5, 80).collect())
     assert kept == sorted([(1, text(1)), (-1, text(2)), (5, text(3)), (6, text(4)), (-1, text(5)), (7, ""), (7, ""), (8, text(6)), (8, text(7))])
+
+
+@pytest.mark.parametrize("toxic", [10, 40])
+def test_mixture_keeps_clean_documents_at_any_supply(spark, toxic, caplog):
+    rows = [(i, [0.0, 1.0] if i < toxic else [1.0, 0.0], 10) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, __p array<double>, __tokens long")
+    steps = mixing.fit_rates(members, ["clean", "toxic"], {"clean": 0.95, "toxic": 0.05})
+    rate = {r.doc_id: r["__rate"] for r in members.withColumn("__rate", mixing.rate_of(steps)).collect()}
+    assert all(abs(rate[i] - 1) < 0.02 for i in range(toxic, 1000))
+    assert ("targets missed" in caplog.text) == (toxic == 10)

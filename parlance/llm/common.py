@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Tasks over which one key of a join is dealt; AQE parts what is still skewed.
+SALTS = 16
+#: Words of 64 bits of a bitmap that is broadcast, 16 MB at most.
+BITMAP = 1 << 20
 #: Rows of one Arrow batch that carries whole texts; with texts of 100 kB a batch stays below 30 MB.
 TEXT_ROWS = 256
 
@@ -21,7 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not (shared or sc.master.startswith("local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="parlance-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -79,3 +85,27 @@ def bucket_of(value: Column, cuts: list[int]) -> Column:
         return F.when((at + step < len(cuts)) & (F.get(at_most, at + step) <= value), at + step).otherwise(at)
 
     return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), go)
+
+
+def marked(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows with ``__may``: whether their hash ``col`` may be among ``keys``, by a broadcast bitmap of at most BITMAP words of 64 bits.
+
+    False is certain; what is true by chance is for the caller's join to settle. A full bitmap says true of all rows.
+    """
+    place = lambda h: F.pmod(h, F.lit(BITMAP))
+    bit = lambda h: F.shiftright(h, 40).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    bits = keys.groupBy(place(F.col(col)).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col(col)))).alias("__bits"))
+    some = rows.withColumn("__word", place(F.col(col))).join(F.broadcast(bits), "__word", "left")
+    at = F.call_function("shiftright", F.coalesce("__bits", F.lit(0).cast("long")), bit(F.col(col)))
+    return some.withColumn("__may", at.bitwiseAND(F.lit(1).cast("long")) == 1).drop("__word", "__bits")
+
+
+def in_bitmap(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """The rows whose hash ``col`` may be among ``keys``."""
+    return marked(rows, keys, col).filter("__may").drop("__may")
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], *deal: Column, how: str = "inner") -> DataFrame:
+    """Join of many rows with unique keys, the rows of each key dealt over SALTS tasks by the columns ``deal``."""
+    spread = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*deal), F.lit(SALTS)).cast("int")).join(spread, [*keys, "__salt"], how).drop("__salt")

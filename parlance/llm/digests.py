@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from parlance.llm.common import bucket_of, cut, documents, edges, text_of
+from parlance.llm.common import SALTS, bucket_of, cut, documents, edges, in_bitmap, literal, text_of
 
 #: White space that NFKC leaves as it is.
 OTHER_BLANKS = "\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\u0085\\u1680\\u2028\\u2029"
@@ -24,9 +24,6 @@ OTHER_BLANKS = "\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\u0085\\u1680\\u2028\\u2029"
 BLANKS = f" [ {OTHER_BLANKS}]+|[{OTHER_BLANKS}][ {OTHER_BLANKS}]*"
 SECOND_SEED = 0x5DEECE66D
 NO_ID = -(2**63)
-SALTS = 16
-#: Words of 64 bits in the bitmap of buckets, 16 MB at most when it is broadcast.
-WORDS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -59,7 +56,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     last = len(cuts) - 1
     # one value for each range, so at most 65,536 whatever the input
     tops = {r[0]: r[1] for r in base.select("key").groupBy(bucket_of(F.col("key"), cuts).alias("b")).agg(F.max("key")).collect()}
-    top = F.get(F.lit([tops.get(b, NO_ID) for b in range(last + 1)]).cast("array<bigint>"), F.col("b"))
+    top = F.get(literal([tops.get(b, NO_ID) for b in range(last + 1)]), F.col("b"))
     own = F.struct(F.col("b").alias("b"), F.lit(False).alias("ghost"))
     above = F.struct(F.when(F.col("b") == last, 0).otherwise(F.col("b") + 1).alias("b"), F.lit(True).alias("ghost"))
     dealt = base.withColumn("b", bucket_of(F.col("key"), cuts)).withColumn("at", F.explode(F.when(F.col("key") == top, F.array(own, above)).otherwise(F.array(own))))
@@ -76,7 +73,7 @@ def edited(text: Column, n: Column, following: Column) -> Column:
 
 
 def grouped(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """``prints`` (key, h1, h2, n_bytes ...) with ``class_id`` and ``class_size``: the least id, and the rows, of equal canonical bytes.
+    """``prints`` (key, kt, h1, h2 ...; kt names the text) with ``class_id`` and ``class_size``: the least id, and the rows, of equal canonical bytes.
 
     Counts of buckets are combined before they are shuffled. Only rows of buckets with several members have their bytes
     compared: grouping by the bytes is also combined before the shuffle, so a bucket that holds a third of all rows sends one
@@ -86,24 +83,19 @@ def grouped(prints: DataFrame, docs: DataFrame) -> DataFrame:
     held = cut(prints.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter("n > 1"))
     spread = held.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    raw = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("key"), canonical(docs["text"]).alias("canon"))
+    raw = docs.select(F.coalesce(docs["doc_id"], F.lit(NO_ID)).alias("key"), canonical(docs["text"]).alias("canon"), F.xxhash64(text_of(docs)).alias("kt"))
     h1, h2 = wide_hash(F.col("canon"))
     raw = raw.withColumns({"h1": h1, "h2": h2})
-    # a bitmap of the buckets that have several members, at most WORDS rows however many there are: most other texts stay
-    # where they are, and a text that passes by chance makes a class of its own
-    place = lambda h: (F.pmod(h, F.lit(WORDS)).alias("word"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int"))
-    word, bit = place(F.col("h1"))
-    bitmap = held.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    raw = raw.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
-    members = raw.filter(F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    # most other texts stay where they are, and a text that passes the bitmap by chance makes a class of its own
+    members = in_bitmap(raw, held.select("h1"), "h1")
     classes = cut(members.groupBy("h1", "h2", "canon").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     collided = classes.groupBy("h1", "h2").agg(F.count("*").alias("classes")).filter("classes > 1").count()
     if not collided:
         got = salted.join(spread.select("h1", "h2", "salt", "least", "n"), ["h1", "h2", "salt"], "left")
     else:
-        by_key = members.join(classes, ["h1", "h2", "canon"]).select("key", "h1", "h2", "least", "n").distinct()
-        got = salted.join(by_key, ["key", "h1", "h2"], "left")
-    return got.drop("salt").withColumns({"class_id": F.coalesce("least", "key"), "class_size": F.coalesce("n", F.lit(1)).cast("long")}).drop("least", "n")
+        by_key = members.join(classes, ["h1", "h2", "canon"]).select("key", "kt", "h1", "h2", "least", "n").distinct()
+        got = salted.join(by_key, ["key", "kt", "h1", "h2"], "left")
+    return got.drop("salt").withColumns({"class_id": F.coalesce("least", "key"), "class_size": F.coalesce("n", F.lit(1)).cast("long")}).drop("least", "n", "kt")
 
 
 def op3_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +106,7 @@ def op3_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs.withColumns({"canon": canonical(F.col("text")), "edit_canon": canonical(F.col("edit")), "next_canon": canonical(F.col("next_text"))})
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)  # noqa: E731  the bytes are compared, not only the hashes
     h1, h2 = wide_hash(F.col("canon"))
-    prints = cut(pairs.select("key", "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), h1.alias("h1"), h2.alias("h2"), hexed(*wide_hash(F.col("edit_canon"))).alias("edited_fingerprint"), same("canon", "edit_canon").alias("near_edited"), same("canon", "next_canon").alias("near_next")))
+    prints = cut(pairs.select("key", F.xxhash64("text").alias("kt"), "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), h1.alias("h1"), h2.alias("h2"), hexed(*wide_hash(F.col("edit_canon"))).alias("edited_fingerprint"), same("canon", "edit_canon").alias("near_edited"), same("canon", "next_canon").alias("near_next")))
     out = grouped(prints, docs)
     null_id = F.col("class_id") == NO_ID
     return out.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("h1"), F.col("h2")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", F.when(null_id, F.lit(None).cast(T.LongType())).otherwise(F.col("class_id")).alias("class_id"), "class_size")

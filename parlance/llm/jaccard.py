@@ -1,10 +1,15 @@
 """Exact Jaccard join of documents as sets of word shingles, in the metric space of the Jaccard distance.
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one point, named by a digest of the set.
-2. Blocks. Two sets that link differ in at most D elements, D by their sizes. If the elements are dealt by hash into D + 3
-   classes, at least three classes hold the same elements in both. So each set puts down the digest of each class, and the
-   points that put down one digest stand in one block; no link leaves a block. (Random pivots alone would not do: unrelated
-   texts are all at distance 1 from each other, where no triangle inequality tells them apart.)
+2. Blocks. Two sets that link differ in at most D elements, D by their sizes. If the elements are dealt by hash into more than D
+   classes, some class holds the same elements in both. So each set puts down the digests of its classes that are not empty,
+   and the points that put down one digest stand in one block. A class counts only if it is not empty: a set that
+   fills more than D classes shares a filled one with every set that links with it; a set that fills no more puts down the
+   digests of further, finer dealings, up to one in which each element is a class, so no link leaves the blocks. Elements that
+   very many documents have are left out of the first dealings (both sets leave out the same ones, so they differ in no more
+   elements); only sets that hold little else put such classes down. What is so frequent is told by counts over all
+   documents, in a table of fixed size; the counts change the work, not the result. (Random pivots alone would not do:
+   unrelated texts are all at distance 1 from each other, where no triangle inequality tells them apart.)
 3. Connected blocks are a region. A region is joined by pivots: each point belongs to the Voronoi region of its nearest
    pivot and is copied to that of each other pivot within a window of twice the threshold, which the triangle inequality
    makes wide enough for every link; regions are joined the same way again. Where pivots cannot part the points any more,
@@ -30,20 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import cut, documents, map_arrow, text_of
+from parlance.llm.common import SALTS, cut, documents, in_bitmap, map_arrow, marked, salted, text_of
 from parlance.llm.graphs import components
 
 WORDS, PERCENT = 3, 90
 NO_ID = -(2**63)
 CACHE = 300_000
-#: Classes beyond those that differences can spoil; a set with as many empty classes puts down the empty ones too.
-SPARE = 2
+#: Cells of the table of counts that tells frequent elements; a cell is frequent beyond what chance makes of the mean.
+CELLS = 1 << 18
+#: Dealings, in turn: whether frequent elements are in, and the classes for each element that can differ (None: every element by itself).
+DEALINGS = ((False, 1.125), (False, 1.5), (False, 3.0), (True, 1.125), (True, 1.5), (True, 3.0), (True, None))
 #: Sizes of one level go up to half as many again.
 LEVEL = 1.5
-#: Points of a region that a task joins; larger regions are parted by a distributed pass, so many at a time.
-REGION, AT_ONCE, PIVOTS = 20_000, 16, 16
-SALTS = 16
-BITMAP = 1 << 20
+#: Elements of a region that a task joins; larger regions are parted by a distributed pass, so many at a time.
+REGION, AT_ONCE, PIVOTS = 6_000_000, 16, 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -89,13 +94,13 @@ def differences(size: int, percent: int = PERCENT) -> int:
 
 
 def levels(most: int, percent: int = PERCENT) -> list[int]:
-    """The largest size of each level. At level 0 nothing but equal sets link."""
+    """The largest size of each level; what links with a set is at its level or next to it. At level 0 nothing but equal sets link."""
     first = 1
     while differences(first + 1, percent) == 0:
         first += 1
     out = [first]
     while out[-1] < most:
-        out.append(int(out[-1] * LEVEL))
+        out.append(max(out[-1] * 100 // percent, int(out[-1] * LEVEL), out[-1] + 1))
     return out
 
 
@@ -109,21 +114,54 @@ def digest(h: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(h + M2)) ^ mix(h.sum(keepdims=True) * M3 + np.uint64(len(h)))[0]) - (1 << 63) if len(h) else 0
 
 
-def blocks(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def frequent_cells(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Which cells of the table hold elements of very many documents: a mark for each of CELLS cells.
+
+    Tasks count their own documents; at most CELLS numbers leave a task and come to the driver.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, total = Shingles(words), np.zeros(CELLS, np.int64)
+        for b in batches:
+            for h in map(shingles.of, set(b.column(0).to_pylist())):
+                total[cell(h)] += 1
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(total[has])], names=["cell", "n"])
+
+    found = map_arrow(docs.select(text_of(docs)), rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(CELLS)
+    total[found["cell"].to_numpy(int)] = found["n"].to_numpy(float)
+    return total > total.mean() + 6 * np.sqrt(total.mean()) + 16
+
+
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def blocks(h: np.ndarray, percent: int = PERCENT, frequent: np.ndarray | None = None) -> np.ndarray:
     """The class digests of a set: at its own level, and at the next if a larger set that links can be there."""
     n, top = len(h), tops(percent)
     own = int(np.searchsorted(top, n))
+    rare = h if frequent is None else h[~frequent[cell(h)]]
     out = []
     for level in (own, own + 1) if n * 100 // percent > top[own] else (own,):
         if level == 0 or not n:
             continue
-        k = differences(int(top[level]), percent) + 1 + SPARE
-        at = ((h >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
-        count = np.bincount(at, minlength=k)
-        low = np.bincount(at, (h & np.uint64(0xFFFFFFFF)).astype(float), k).astype(np.uint64)
-        high = np.bincount(at, (h >> np.uint64(32)).astype(float), k).astype(np.uint64)
-        sig = mix((low * M1 + high) * M3 + np.arange(k, dtype=np.uint64) * M2 + np.uint64(level))
-        out.append(sig if (count == 0).sum() > SPARE else sig[count > 0])
+        # in so many elements the set can differ from a larger one of the level
+        most = (n + (n if level == own else int(top[level]))) * (100 - percent) // (100 + percent)
+        for turn, (whole, factor) in enumerate(DEALINGS):
+            mine = h if whole else rare
+            seed = np.uint64(len(DEALINGS) * level + turn)
+            if factor is None:
+                sig = mix(mix(mine * M1) + seed)
+            else:
+                k = int(differences(int(top[level]), percent) * factor) + 2
+                at = ((mine >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
+                low = np.bincount(at, (mine & np.uint64(0xFFFFFFFF)).astype(float), k).astype(np.uint64)
+                high = np.bincount(at, (mine >> np.uint64(32)).astype(float), k).astype(np.uint64)
+                sig = mix((low * M1 + high) * M3 + np.arange(k, dtype=np.uint64) * M2 + seed)[np.bincount(at, minlength=k) > 0]
+            out.append(sig)
+            if len(sig) > most:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -134,6 +172,8 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, doc_id, a hash of the text, the size and name of each document's set, and its block digests."""
+    frequent = frequent_cells(docs, words)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for b in batches:
@@ -143,7 +183,7 @@ def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
             sigs = []
             for name, h in zip(names, sets, strict=True):
                 # copies in one batch put their digests down once
-                sigs.append(np.zeros(0, np.uint64) if name in held else blocks(h, percent))
+                sigs.append(np.zeros(0, np.uint64) if name in held else blocks(h, percent, frequent))
                 held[name] = h
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([len(h) for h in sets], pa.int64()), pa.array(names, pa.int64()), lists(sigs)], names=["key", "doc_id", "kt", "n", "sid", "sigs"])
 
@@ -264,14 +304,14 @@ def region_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def part_large(sets: DataFrame, percent: int, limit: int = REGION) -> tuple[DataFrame, DataFrame | None]:
-    """Regions of more than ``limit`` points are parted by pivots in distributed passes; also the links to pivots found there.
+    """Regions whose sets have more than ``limit`` elements are parted by pivots in distributed passes; also the links to pivots found there.
 
     At most AT_ONCE regions are parted in a pass, so the pivots that travel are bounded. A region that its pivots do not part
     (all its points lie within the window of one another) is left whole.
     """
     links, whole, r = None, set(), 1 - percent / 100
     while True:
-        sizes = sets.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        sizes = sets.groupBy("region").agg(F.sum(F.size("h")).alias("n")).filter(F.col("n") > limit)
         large = [x for x in sizes.orderBy(F.col("n").desc(), "region").limit(AT_ONCE + len(whole)).collect() if x["region"] not in whole][:AT_ONCE]
         if not large:
             return sets, links
@@ -300,7 +340,7 @@ def part_large(sets: DataFrame, percent: int, limit: int = REGION) -> tuple[Data
         found = parted.select(F.col("sid").alias("a"), F.explode("linked").alias("b"))
         links = found if links is None else links.unionByName(found)
         before = {x["region"]: x["n"] for x in large}
-        most = {x["was"]: (x["most"], x["total"]) for x in parted.groupBy("was", "region").agg(F.count("*").alias("n")).groupBy("was").agg(F.max("n").alias("most"), F.sum("n").alias("total")).collect()}
+        most = {x["was"]: (x["most"], x["total"]) for x in parted.groupBy("was", "region").agg(F.sum(F.size("h")).alias("n")).groupBy("was").agg(F.max("n").alias("most"), F.sum("n").alias("total")).collect()}
         good = [i for i in ids if most[i][0] <= 0.8 * before[i] and most[i][1] <= 4 * before[i]]
         whole |= set(ids) - set(good)
         if good:
@@ -310,22 +350,19 @@ def part_large(sets: DataFrame, percent: int, limit: int = REGION) -> tuple[Data
 def linked_sets(docs: DataFrame, held: DataFrame, words: int = WORDS, percent: int = PERCENT, limit: int = REGION) -> DataFrame:
     """(node, root) of the set names that some link connects with another set."""
     spread = held.filter("n > 0").select("sid", F.explode("sigs").alias("sig"))
-    # one shuffle by digest; every point of a block points to the block's least
-    from pyspark.sql.window import Window
-
-    star = spread.select("sid", F.first("sid").over(Window.partitionBy("sig").orderBy("sid")).alias("least"))
-    edges = star.filter("sid != least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    # every point of a block points to the block's least; the minimum is combined before the shuffle, so copies of a set and
+    # hot digests travel once a task, and only what stands in a block is shuffled again
+    several = cut(spread.groupBy("sig").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least != most").select("sig", "least"))
+    some = in_bitmap(spread, several, "sig").distinct()
+    edges = salted(some, several, ["sig"], F.col("sid")).filter("sid != least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
     regions = components(edges)
     if regions.isEmpty():
         return regions
-    reps = held.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key")).join(regions.select(F.col("node").alias("sid"), F.col("root").alias("region")), "sid")
-    reps = cut(reps)
-    # a bitmap of at most BITMAP words of 64 ids keeps the other texts from being shuffled
-    place = F.pmod(F.shiftright("key", 6), F.lit(BITMAP))
-    bit = F.col("key").bitwiseAND(F.lit(63).cast("long")).cast("int")
-    bitmap = reps.select(place.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), text_of(docs).alias("text")).withColumns({"word": place, "bit": bit})
-    some = base.join(F.broadcast(bitmap), "word").filter(F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    reps = held.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    reps = cut(reps.join(regions.select(F.col("node").alias("sid"), F.col("root").alias("region")), "sid"))
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), text_of(docs).alias("text"))
+    # the bitmap keeps the other texts from being shuffled
+    some = in_bitmap(base.withColumn("name", F.xxhash64("key")), reps.select(F.xxhash64("key").alias("name")), "name")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -334,8 +371,8 @@ def linked_sets(docs: DataFrame, held: DataFrame, words: int = WORDS, percent: i
             keep = pa.array([digest(h) == s for h, s in zip(sets, b.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(sets)], names=["region", "sid", "h"]).filter(keep)
 
-    sets = map_arrow(some.select("key", "text").join(reps, "key").select("region", "sid", "text"), rows, "region long, sid long, h array<long>")
-    largest = reps.groupBy("region").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    sets = map_arrow(some.select("key", "text").join(reps.drop("n"), "key").select("region", "sid", "text"), rows, "region long, sid long, h array<long>")
+    largest = reps.groupBy("region").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
     links = None
     if largest > limit:
         sets, links = part_large(cut(sets), percent, limit)
@@ -371,21 +408,25 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     """The documents, with all their columns, one of each component: that of the least id (null above all), and of texts that share it
     that of the least hash; of rows that repeat with the same id and text, one.
 
-    Only ids and hashes of texts travel: those that go are few or many, but each is two numbers.
+    Only ids and hashes of texts travel, and the documents that a bitmap of those lets through: the others stay where they are.
+    Texts without a word are in no component and all stay; an empty table gives an empty result.
     """
-    own = docs.columns
     found = rooted_rows(docs.select("doc_id", "text"), words, percent).filter("root IS NOT NULL")
     found = cut(found.groupBy("root", "doc_id", "kt").agg(F.count("*").alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")
     first = found.groupBy("root").agg(F.min(order).alias("first"))
     both = found.join(first, "root").withColumn("stays", order.eqNullSafe(F.col("first")))
-    named = cut(both.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("kt").alias("__kt"), F.col("stays").alias("__stays")))
-    keyed = docs.withColumn("__h", F.xxhash64(text_of(docs)))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kt"))
-    alone = keyed.join(named, same, "left_anti")
+    name = lambda i, t: F.xxhash64(F.coalesce(i, F.lit(NO_ID)), t).alias("name")
+    named = cut(both.filter("NOT stays OR rows > 1").select("doc_id", "kt", "stays", name(F.col("doc_id"), F.col("kt"))))
+    kt = F.xxhash64(text_of(docs))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), kt.alias("t"), name(docs["doc_id"], kt))
+    rows = marked(rows, named, "name")
+    some, keys = rows.filter("__may"), named.drop("name")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("kt"))
+    alone = some.join(keys, same, "left_anti")
     # the first of its component, but in several rows
-    again = keyed.join(named.filter("__stays"), same, "left_semi").dropDuplicates(["doc_id", "__h"])
-    return alone.select(*own).unionByName(again.select(*own))
+    again = some.join(keys.filter("stays"), same, "left_semi").dropDuplicates(["id", "t"])
+    return rows.filter("NOT __may").select("row.*").unionByName(alone.select("row.*")).unionByName(again.select("row.*"))
 
 
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:

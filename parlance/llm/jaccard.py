@@ -1,15 +1,15 @@
 """Exact Jaccard join of documents as sets of word shingles, in the metric space of the Jaccard distance.
 
 1. Texts become sets of 64-bit shingle hashes; equal sets are one point, named by a digest of the set.
-2. Blocks. Two sets that link differ in at most D elements, D by their sizes. If the elements are dealt by hash into more than D
-   classes, some class holds the same elements in both. So each set puts down the digests of its classes that are not empty,
-   and the points that put down one digest stand in one block. A class counts only if it is not empty: a set that
-   fills more than D classes shares a filled one with every set that links with it; a set that fills no more puts down the
-   digests of further, finer dealings, up to one in which each element is a class, so no link leaves the blocks. Elements that
-   very many documents have are left out of the first dealings (both sets leave out the same ones, so they differ in no more
-   elements); only sets that hold little else put such classes down. What is so frequent is told by counts over all
-   documents, in a table of fixed size; the counts change the work, not the result. (Random pivots alone would not do:
-   unrelated texts are all at distance 1 from each other, where no triangle inequality tells them apart.)
+2. Blocks. Two sets that link differ in at most D elements, D by their sizes. If the elements are dealt by hash into classes,
+   a set's filled classes but D are the same in both. So of the digests of its filled classes, in an order that is the
+   same for all sets, each set puts down the first D + 1, and the points that put down one digest stand in one block; no
+   link leaves the blocks. A set that does not fill so many classes puts them all down and also those of further, finer
+   dealings, up to one in which each element is a class. In the order, classes of nothing but elements that very many
+   documents have come last, and else large classes come first, so that passages that documents share, or single elements,
+   bring few points together. What is so frequent is told by counts over all documents, in a table of fixed size; the order
+   changes the work, not the result. (Random pivots alone would not do: unrelated texts are all at distance 1 from each
+   other, where no triangle inequality tells them apart.)
 3. Connected blocks are a region. A region is joined by pivots: each point belongs to the Voronoi region of its nearest
    pivot and is copied to that of each other pivot within a window of twice the threshold, which the triangle inequality
    makes wide enough for every link; regions are joined the same way again. Where pivots cannot part the points any more,
@@ -42,9 +42,9 @@ WORDS, PERCENT = 3, 90
 NO_ID = -(2**63)
 CACHE = 300_000
 #: Cells of the table of counts that tells frequent elements; a cell is frequent beyond what chance makes of the mean.
-CELLS = 1 << 18
-#: Dealings, in turn: whether frequent elements are in, and the classes for each element that can differ (None: every element by itself).
-DEALINGS = ((False, 1.125), (False, 1.5), (False, 3.0), (True, 1.125), (True, 1.5), (True, 3.0), (True, None))
+CELLS = 1 << 17
+#: Dealings, in turn: the classes for each element that can differ (None: every element by itself).
+DEALINGS = (1.6, 4.0, None)
 #: Sizes of one level go up to half as many again.
 LEVEL = 1.5
 #: Elements of a region that a task joins; larger regions are parted by a distributed pass, so many at a time.
@@ -141,27 +141,30 @@ def blocks(h: np.ndarray, percent: int = PERCENT, frequent: np.ndarray | None =
     """The class digests of a set: at its own level, and at the next if a larger set that links can be there."""
     n, top = len(h), tops(percent)
     own = int(np.searchsorted(top, n))
-    rare = h if frequent is None else h[~frequent[cell(h)]]
+    common = np.zeros(n, bool) if frequent is None else frequent[cell(h)]
     out = []
     for level in (own, own + 1) if n * 100 // percent > top[own] else (own,):
         if level == 0 or not n:
             continue
-        # in so many elements the set can differ from a larger one of the level
-        most = (n + (n if level == own else int(top[level]))) * (100 - percent) // (100 + percent)
-        for turn, (whole, factor) in enumerate(DEALINGS):
-            mine = h if whole else rare
+        # in so many elements the set can differ from one of the level that links with it
+        most = (n + min(int(top[level]), n * 100 // percent)) * (100 - percent) // (100 + percent)
+        for turn, factor in enumerate(DEALINGS):
             seed = np.uint64(len(DEALINGS) * level + turn)
             if factor is None:
-                sig = mix(mix(mine * M1) + seed)
+                sig, size, rare = mix(mix(h * M1) + seed), np.ones(n, np.int64), ~common
             else:
                 k = int(differences(int(top[level]), percent) * factor) + 2
-                at = ((mine >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
-                low = np.bincount(at, (mine & np.uint64(0xFFFFFFFF)).astype(float), k).astype(np.uint64)
-                high = np.bincount(at, (mine >> np.uint64(32)).astype(float), k).astype(np.uint64)
-                sig = mix((low * M1 + high) * M3 + np.arange(k, dtype=np.uint64) * M2 + seed)[np.bincount(at, minlength=k) > 0]
-            out.append(sig)
+                at = ((h >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
+                low = np.bincount(at, (h & np.uint64(0xFFFFFFFF)).astype(float), k).astype(np.uint64)
+                high = np.bincount(at, (h >> np.uint64(32)).astype(float), k).astype(np.uint64)
+                size = np.bincount(at, minlength=k)
+                sig = mix((low * M1 + high) * M3 + np.arange(k, dtype=np.uint64) * M2 + seed)
+                rare = np.bincount(at[~common], minlength=k) > 0
+                sig, size, rare = sig[size > 0], size[size > 0], rare[size > 0]
             if len(sig) > most:
+                out.append(sig[np.lexsort((sig, -size, ~rare))[: most + 1]])
                 break
+            out.append(sig)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -353,7 +356,7 @@ def linked_sets(docs: DataFrame, held: DataFrame, words: int = WORDS, percent: i
     # every point of a block points to the block's least; the minimum is combined before the shuffle, so copies of a set and
     # hot digests travel once a task, and only what stands in a block is shuffled again
     several = cut(spread.groupBy("sig").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least != most").select("sig", "least"))
-    some = in_bitmap(spread, several, "sig").distinct()
+    some = in_bitmap(spread, several, "sig")
     edges = salted(some, several, ["sig"], F.col("sid")).filter("sid != least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
     regions = components(edges)
     if regions.isEmpty():

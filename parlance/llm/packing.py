@@ -2,11 +2,13 @@
 
 Texts are tokenized in Arrow batches; documents longer than a sequence are cut, and each piece keeps only its place, length
 and checksum. What is packed is the histogram of lengths, which has at most as many entries as a sequence has tokens, so
-the search runs on the driver whatever the corpus holds. It repeats bin completion: around the largest length left, the
-undominated fillings of the gap are enumerated, those whose waste cannot beat the best so far are pruned, and the best is
-used for as many sequences as the counts allow. Best fit is the incumbent, and the last few pieces are settled by a branch
-and bound over whole packings. The plan says, for each length, which ranks go to which sequence and offset; ranks come from
-counts of each partition and length.
+the search runs on the driver whatever the corpus holds. It is a branch and bound over the histogram: a node takes the largest
+length left, enumerates the undominated fillings of the gap around it, least waste first, and uses one for as many sequences as
+the counts allow; when few pieces are left, it is used once. A branch whose waste cannot lead to fewer sequences than the
+incumbent has is pruned. The first incumbent is best fit; the search ends when the incumbent is proved to be optimal
+(it meets a lower bound, or no branch is left of a search that used no filling several times) or at a number of nodes that is a
+parameter. The plan says, for each length, which ranks go to which sequence and offset; ranks come from counts of each
+partition and length.
 
 Defined cases: null and empty texts are one token (the end id); repeated rows are packed each; null ids are kept; an empty
 table gives an empty result; other columns are ignored.
@@ -14,10 +16,12 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,15 +34,16 @@ from pyspark.sql.window import Window
 
 from parlance.llm.common import cut, documents, map_arrow, text_of
 
+log = logging.getLogger(__name__)
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each cache of a worker; a full cache starts again, results don't depend on it.
 CACHE = 200_000
-#: Fillings looked at for one gap, and nodes of the search over the last pieces, before the best so far is taken.
-FILLINGS = 20_000
-NODES = 200_000
-LAST_PIECES = 48
+#: Steps of the enumeration of fillings of one gap and of all, and nodes of the search, after which the best so far is taken.
+FILLINGS, STEPS, NODES = 10_000, 4_000_000, 20_000
+#: With so many pieces left a filling is used for one sequence at a time.
+SINGLY = 48
 
 
 def byte_letters() -> dict[int, int]:
@@ -76,7 +81,8 @@ class WordTokenizer:
 
     def ids(self, word: str) -> bytes:
         """Ids of one pre-token, straight from the merges; its bytes are written as the vocabulary writes them."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        plain = word.isascii() and word.isprintable()
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word if plain else word.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -143,38 +149,63 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     return map_arrow(docs.select("doc_id", text_of(docs).alias("text")), rows, "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long")
 
 
-def filling(gap: int, counts: dict[int, int], sizes: list[int]) -> list[int]:
-    """The multiset of available lengths with the largest sum up to ``gap``; of equal sums the one with larger lengths first.
+def fillings(gap: int, counts: dict[int, int], sizes: list[int], steps: int = FILLINGS, spent: Counter | None = None) -> Iterator[list[int]]:
+    """The undominated multisets of available lengths (``sizes``, ascending) that fit ``gap``, least waste first.
 
-    One and two lengths that fill the gap exactly are looked up. Otherwise fillings are enumerated from the largest length
-    down; a branch ends where it cannot beat the least waste so far. A filling that leaves room for a further length is
-    dominated by the one that has it, so only full ones are compared.
+    A filling is dominated if another length fits in the room it leaves, or if one or two of its lengths can be exchanged for
+    one available length that is larger and fits. The one that leaves nothing and has the fewest lengths is looked up at once; the
+    rest are enumerated, largest lengths first, ``steps`` steps at most; ``spent`` counts them.
     """
+    first: list[int] | None = None
     if counts.get(gap):
-        return [gap]
-    top = bisect_right(sizes, gap)
-    for i in range(top - 1, -1, -1):
-        a = sizes[i]
-        if 2 * a < gap:
-            break
-        if counts.get(gap - a, 0) >= 1 + (gap - a == a):
-            return [a, gap - a]
-    best, waste, seen, smallest = [], gap, 0, sizes[0] if sizes else gap + 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(gap, top, ())]
-    while stack and waste and seen < FILLINGS:
+        first = [gap]
+    else:
+        for i in range(bisect_right(sizes, gap) - 1, -1, -1):
+            a = sizes[i]
+            if 2 * a < gap:
+                break
+            if counts.get(gap - a, 0) >= 1 + (gap - a == a):
+                first = [a, gap - a]
+                break
+    if first is not None:
+        yield first
+    found: list[tuple[int, list[int]]] = []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(gap, len(sizes), ())]
+    seen = 0
+    while stack and seen < steps:
         room, below, chosen = stack.pop()
         seen += 1
-        if room < waste:
-            best, waste = list(chosen), room
+        if spent is not None:
+            spent["steps"] += 1
         i = min(below, bisect_right(sizes, room)) - 1
-        if i < 0 or room < smallest:
+        if i < 0:
+            if undominated(chosen, room, counts, sizes) and list(chosen) != first:
+                found.append((room, list(chosen)))
+                if not room and first is None:  # nothing can be better
+                    first = list(chosen)
+                    yield first
+                    found.pop()
             continue
         a = sizes[i]
-        if i > 0:  # without another a: the rest comes from smaller lengths
-            stack.append((room, i, chosen))
+        stack.append((room, i, chosen))  # no (further) a: the rest comes from smaller lengths
         if chosen.count(a) < counts[a]:
             stack.append((room - a, i + 1, (*chosen, a)))
-    return best
+    if not found and first is None:
+        found = [(gap, [])]
+    yield from (own for _, own in sorted(found, key=lambda x: x[0]))
+
+
+def undominated(chosen: tuple[int, ...], room: int, counts: dict[int, int], sizes: list[int]) -> bool:
+    """Whether no available length fits in the room or can take the place of one or two of the chosen and fill more."""
+    left = lambda s: counts[s] - chosen.count(s) > 0
+    if any(left(s) for s in sizes[: bisect_right(sizes, room)]):
+        return False
+    distinct = sorted(set(chosen))
+    pairs = {a + b for i, a in enumerate(distinct) for b in distinct[i:] if a != b or chosen.count(a) > 1}
+    for have, least in [*((a, a + 1) for a in distinct), *((p, p) for p in pairs)]:
+        if any(left(s) for s in sizes[bisect_right(sizes, least - 1) : bisect_right(sizes, have + room)]):
+            return False
+    return True
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -208,80 +239,93 @@ def put(groups: dict[int, list], free: list[int], room: int, held: list[int], k:
     groups[room].append((held, k))
 
 
-def last_bins(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Branch and bound over whole packings of a few pieces: each node completes a sequence around the largest piece left."""
-    sizes = sorted(sizes, reverse=True)
-    counts: dict[int, int] = {}
-    for s in sizes:
-        counts[s] = counts.get(s, 0) + 1
-    best = [x for held, k in best_fit(counts, capacity) for x in [held] * k]
-    nodes = 0
-
-    def fillings(rest: list[int], gap: int) -> list[list[int]]:
-        """Undominated fillings of the gap, least waste first."""
-        found: dict[tuple[int, ...], None] = {}
-
-        def go(i: int, room: int, chosen: tuple[int, ...]) -> None:
-            if len(found) > 200:
-                return
-            last = None
-            full = True
-            for j in range(i, len(rest)):
-                if rest[j] <= room and rest[j] != last:
-                    full, last = False, rest[j]
-                    go(j + 1, room - rest[j], (*chosen, rest[j]))
-            if full:
-                found[chosen] = None
-
-        go(0, gap, ())
-        return sorted(map(list, found), key=sum, reverse=True)
-
-    def search(rest: list[int], bins: list[list[int]], wasted: int) -> None:
-        nonlocal best, nodes
-        nodes += 1
-        if not rest:
-            if len(bins) < len(best):
-                best = [list(b) for b in bins]
-            return
-        if nodes > NODES or len(bins) + -(-sum(rest) // capacity) >= len(best):
-            return
-        allowed = (len(best) - 1) * capacity - sum(sizes)
-        for own in fillings(rest[1:], capacity - rest[0]):
-            waste = capacity - rest[0] - sum(own)
-            if wasted + waste > allowed:
-                break
-            left = rest[1:]
-            for s in own:
-                left.remove(s)
-            search(left, [*bins, [rest[0], *own]], wasted + waste)
-
-    if len(best) > -(-sum(sizes) // capacity):
-        search(sizes, [], 0)
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: the tokens, or the pieces over half a sequence and what does not fit beside them."""
+    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for least in [s for s in counts if 2 * s <= capacity] or [0]:
+        alone = sum(n for s, n in counts.items() if s > capacity - least)
+        half = sum(n for s, n in counts.items() if 2 * s > capacity and s <= capacity - least)
+        room = sum(n * (capacity - s) for s, n in counts.items() if 2 * s > capacity and s <= capacity - least)
+        small = sum(n * s for s, n in counts.items() if least <= s and 2 * s <= capacity)
+        best = max(best, alone + half + max(0, -(-(small - room) // capacity)))
     return best
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+class Search:
+    """Branch and bound over a histogram of lengths; ``best`` is the plan, ``proved`` tells whether no plan can have fewer sequences."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int = NODES, steps: int = FILLINGS, singly: int = SINGLY):
+        self.left = {s: n for s, n in counts.items() if n}
+        self.capacity, self.nodes, self.steps, self.singly = capacity, nodes, steps, singly
+        self.total, self.pieces, self.sizes = sum(s * n for s, n in self.left.items()), sum(self.left.values()), sorted(self.left)
+        self.bound = lower_bound(self.left, capacity)
+        self.best = best_fit(dict(self.left), capacity)
+        self.bins, self.several, self.spent = sum(k for _, k in self.best), False, Counter()
+        self.proved = self.bins == self.bound or self.run()
+
+    def take(self, own: list[int], k: int) -> None:
+        """Removes ``k`` sequences from what is left, or puts them back if ``k`` is negative."""
+        self.pieces -= k * len(own)
+        for s in set(own):
+            before = self.left.get(s, 0)
+            after = before - k * own.count(s)
+            if after:
+                self.left[s] = after
+                if not before:
+                    self.sizes.insert(bisect_right(self.sizes, s), s)
+            else:
+                del self.left[s]
+                self.sizes.remove(s)
+
+    def branches(self) -> Iterator[list[int]]:
+        """The sequences around the largest piece left."""
+        top = self.sizes[-1]
+        rest = dict(self.left)
+        rest[top] -= 1
+        for own in fillings(self.capacity - top, rest, [s for s in self.sizes if rest[s]], self.steps, self.spent):
+            yield [top, *own]
+
+    def run(self) -> bool:
+        path: list[tuple[list[int], int, int]] = []
+        open_: list[Iterator[list[int]]] = [self.branches()]
+        wasted = used = nodes = 0
+        while open_ and nodes < self.nodes and self.spent["steps"] < STEPS:
+            own = next(open_[-1], None)
+            allowed = (self.bins - 1) * self.capacity - self.total
+            # fillings come by rising waste, so what follows one too many is too many as well
+            waste = self.capacity - sum(own) if own else 0
+            if own is None or wasted + waste > allowed:
+                open_.pop()
+                if path:
+                    own, k, waste = path.pop()
+                    self.take(own, -k)
+                    wasted, used = wasted - k * waste, used - k
+                continue
+            nodes += 1
+            k = min(self.left[s] // own.count(s) for s in set(own)) if self.pieces > self.singly else 1
+            k = min(k, (allowed - wasted) // waste) if waste else k
+            self.several |= k > 1
+            self.take(own, k)
+            path.append((own, k, waste))
+            wasted, used = wasted + k * waste, used + k
+            if self.pieces:
+                open_.append(self.branches())
+                continue
+            if used < self.bins:
+                self.best, self.bins = [(list(own), k) for own, k, _ in path], used
+                if used == self.bound:
+                    return True
+            own, k, waste = path.pop()
+            self.take(own, -k)
+            wasted, used = wasted - k * waste, used - k
+        return not open_ and not self.several
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences), for all pieces of a histogram of lengths."""
-    counts = {s: n for s, n in counts.items() if n}
-    incumbent = best_fit(dict(counts), capacity)
-    out: list[tuple[list[int], int]] = []
-    left, pieces_left, sizes = dict(counts), sum(counts.values()), sorted(counts)
-    while pieces_left > LAST_PIECES:
-        top = sizes[-1]
-        left[top] -= 1
-        own = [top, *filling(capacity - top, left, [s for s in sizes if left[s]])]
-        left[top] += 1
-        uses = {s: own.count(s) for s in own}
-        k = min(left[s] // n for s, n in uses.items())
-        out.append((own, k))
-        pieces_left -= k * len(own)
-        for s, n in uses.items():
-            left[s] -= k * n
-            if not left[s]:
-                del left[s]
-                sizes.remove(s)
-    out += [(b, 1) for b in last_bins([s for s, n in left.items() for _ in range(n)], capacity)]
-    return min((out, incumbent), key=lambda p: sum(k for _, k in p))
+    search = Search(counts, capacity, nodes)
+    log.info("%d sequences, at least %d are needed, %s", search.bins, search.bound, "proved optimal" if search.proved else "not proved optimal")
+    return search.best
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -119,10 +119,61 @@ def test_plans(seed):
     assert bins <= sum(k for _, k in packing.best_fit(dict(Counter(sizes)), 100)) and bins >= -(-sum(sizes) // 100)
 
 
+def optimum(sizes, capacity):
+    """The least number of sequences, by trying every placement."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for j, held in enumerate(bins):
+            if held + sizes[i] <= capacity and held not in bins[:j]:
+                go(i + 1, [*bins[:j], held + sizes[i], *bins[j + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
 def test_bin_completion_beats_best_fit():
     sizes = [60, 50, 30, 20, 20, 20]
     assert sum(k for _, k in packing.best_fit(dict(Counter(sizes)), 100)) == 3
-    assert len(packing.last_bins(sizes, 100)) == 2
+    search = packing.Search(Counter(sizes), 100)
+    assert search.bins == 2 and search.proved
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plans_are_optimal(seed):
+    r = random.Random(seed)
+    capacity = r.choice([10, 20, 50, 100])
+    sizes = [r.randrange(r.choice([1, capacity // 5 + 1]), capacity * 2 // 3 + 2) for _ in range(r.randrange(12))]
+    search = packing.Search(Counter(sizes), capacity)
+    assert search.bins == optimum(sizes, capacity) >= packing.lower_bound(dict(Counter(sizes)), capacity)
+    assert search.proved and all(sum(own) <= capacity for own, _ in search.best)
+
+
+def test_fillings_are_not_dominated():
+    counts = {3: 1, 4: 2, 7: 1, 9: 1}
+    found = list(packing.fillings(12, counts, sorted(counts)))
+    assert found[0] == [9, 3] and all(sum(f) <= 12 for f in found) and [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+    assert [4, 4] not in found  # the 3 fits too, and the 9 takes the place of both
+
+
+def test_word_tokenizer_on_any_signs():
+    w, r = packing.WordTokenizer(packing.vocabulary_path()), random.Random(5)
+    texts = ["a\x10b", "\x10", *("".join(f"{a}{c}x {c}" for a in "z1") for c in map(chr, [*range(0x80), *range(0x80, 0x3000, 7)]))]
+    texts += ["".join(chr(r.choice([r.randrange(0x20), r.randrange(0x80), r.randrange(0x3000), 0x7F])) for _ in range(r.randrange(1, 12))) for _ in range(3000)]
+    assert list(w.encode(texts)) == [array("I", w.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+
+
+def test_packing_long_text_and_clashing_columns(spark):
+    rows = [(1, "word \x10 " * 30_000, 5, 6), (1, "word \x10 " * 30_000, 5, 6), (2, None, 5, 6)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, length int, pid int")).collect()
+    n = len(next(iter(packing.WordTokenizer(packing.vocabulary_path()).encode([rows[0][1]])))) // 4 + 1
+    assert sum(r.length for r in out) == 2 * n + 1 and all(r.length <= 2048 for r in out)
 
 
 def test_packed_rows(spark, sf):

@@ -10,9 +10,12 @@ long it is.
 
 All in DataFrame operations; the driver sees only numbers by domain and the classifier's table of fixed size.
 
+Rates have no upper bound unless one is asked for, and a lower bound above 0 only for documents of domains that the
+mixture wants more of, if one is asked for; both are part of the projection, so the totals take them into account.
+
 Defined cases: null and empty texts have no tokens, the prior as posterior, and a rate as any other; labels that are null count as none; without labels of a domain
 its posterior is 0 and its target is ignored; repeated rows are kept each; an empty table gives an empty result; the
-documents' other columns are carried along, also under names used here.
+documents' columns travel in a struct, so any names are possible; an id of many rows counts once when the classifier is fitted.
 """
 
 from __future__ import annotations
@@ -31,11 +34,9 @@ log = logging.getLogger(__name__)
 TARGETS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
 SAMPLE = 2_000
 BUCKETS = 1 << 15
-STEPS, TOLERANCE = 40, 1e-6
-#: A document is drawn on at most so often.
-MOST_RATE = 4.0
+STEPS, TOLERANCE = 60, 1e-6
 #: Words seen in fewer labelled rows of a domain, or hardly more often there than elsewhere, weigh nothing.
-LEAST_ROWS, LEAST_WEIGHT, MOST_EVIDENCE = 3, 0.7, 12.0
+LEAST_ROWS, LEAST_WEIGHT = 3, 0.7
 
 
 def domain_of_labels(labels: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ class Classifier:
         # most words weigh nothing: one look-up for those
         out = out.withColumn("__s", F.aggregate(F.filter("__b", lambda b: F.get(has, b) > 0), start, add))
         n = F.greatest(F.lit(1), F.size("__w"))
-        sums = [F.least(F.lit(MOST_EVIDENCE), F.col(f"__s.d{k}")) for k in range(d)]
+        sums = [F.log1p(F.col(f"__s.d{k}")) for k in range(d)]
         x = [*sums, *[F.when(y > 0, 1.0).otherwise(0.0) for y in sums], F.size("__b") / n, F.log1p(n.cast("double")), F.lit(1.0)]
         return out.withColumn("__x", held(F.array(*x))).drop("__w", "__b", "__s")
 
@@ -132,8 +133,9 @@ def fit_classifier(docs: DataFrame, membership: DataFrame, text_col: str = "text
         part = membership.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         some = part if some is None else some.unionByName(part)
     some = some.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 0)
-    # a bounded number of rows of each domain
-    rows = cut(docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(some), "doc_id"))
+    # a bounded number of rows of each domain; of rows that share an id, the one of the least text hash
+    rows = docs.select("doc_id", docs[f"`{text_col}`"].alias("text")).join(F.broadcast(some), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "domain", "half").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     own = rows.filter(~F.col("half"))
     seen = own.select("domain", F.explode(F.array_distinct(F.transform(words_of(F.col("text")), bucket))).alias("b"))
     counts, n = np.zeros((d, BUCKETS)), np.zeros(d)
@@ -156,58 +158,82 @@ def fit_classifier(docs: DataFrame, membership: DataFrame, text_col: str = "text
     return model
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
-    """The rate after some steps: each takes the posterior's share of it off, and the result is brought back between 0 and MOST_RATE."""
+def rate_of(steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rate after some steps: each takes the posterior's share of it off, and the result is brought back above ``floor`` and to ``most``."""
     if not steps:
-        return F.lit(1.0)
+        return F.greatest(F.lit(1.0), F.col("floor"))
     flat = literal([repr(float(x)) for s in steps for x in s], "double")
     d = len(steps[0])
 
     def go(r: Column, m: Column) -> Column:
         down = None
         for k in range(d):
-            x = F.get(flat, m * d + k) * F.get(F.col("__p"), F.lit(k))
+            x = F.get(flat, m * d + k) * F.get(F.col("p"), F.lit(k))
             down = x if down is None else down + x
-        return F.least(F.lit(MOST_RATE), F.greatest(F.lit(0.0), r - down))
+        up = F.greatest(F.col("floor"), r - down)
+        return up if most is None else F.least(F.lit(float(most)), up)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), go)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None) -> list[np.ndarray]:
-    """The steps of the fit over rows of ``__tokens`` and ``__p``.
+def domain_tokens(members: DataFrame, d: int) -> np.ndarray:
+    """The expected tokens of each domain."""
+    row = members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"a{k}") for k in range(d)]).first()
+    return np.array([x or 0.0 for x in row])
+
+
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None, most: float | None = None) -> list[np.ndarray]:
+    """The steps of the fit over rows of ``tokens``, ``p`` and ``floor``.
 
     Without ``total``, the mixture is as large as it takes to hold the domain of the greatest target once; the others are scaled to it. The
-    fit ends when the targets are met, or when steps no longer bring it nearer (targets out of reach at these rates).
+    fit ends when the targets are met, or when steps no longer bring it nearer (targets out of reach at these rates; logged).
     """
     d = len(domains)
     w = np.array([targets.get(k, 0.0) for k in domains])
     if not d or w.sum() <= 0:
         return []
     w = w / w.sum()
-    p = [F.get(F.col("__p"), F.lit(k)) for k in range(d)]
-    t = F.col("__tokens").cast("double")
-    row = members.agg(*[F.sum(t * p[i]).alias(f"a{i}") for i in range(d)], *[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    has = np.array([row[f"a{i}"] or 0.0 for i in range(d)])
+    p = [F.get(F.col("p"), F.lit(k)) for k in range(d)]
+    t = F.col("tokens").cast("double")
+    has = domain_tokens(members, d)
     if has.sum() <= 0:
         return []
     goal = w * (total if total is not None else max(((x, h / x) for h, x in zip(has, w, strict=True) if h > 0 and x > 0), default=(0, has.sum()))[1])
-    square = lambda row: np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
-    active = [F.sum(F.when((F.col("__r") > 0) & (F.col("__r") < MOST_RATE), t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
-    best: list[np.ndarray] = []
-    now, moment, size, tries = has, square(row), 1.0, 0
     off = lambda x: float(np.abs(x - goal).max() / goal.sum())
     miss = lambda x: float(((x - goal) ** 2).sum())
-    while tries < STEPS and off(now) > TOLERANCE and size > 1e-3:
+
+    def look(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' totals under these steps, and the moments of the documents whose rates are free to move: between their
+        bounds, or at one from which a further step like the last leads them away."""
+        down = sum((F.lit(float(g)) * x for g, x in zip(steps[-1], p, strict=True)), F.lit(0.0))
+        free = (F.col("r") > F.col("floor")) | (down < 0)
+        if most is not None:
+            free &= (F.col("r") < most) | (down > 0)
+        active = [F.sum(F.when(free, t * p[i] * p[j])).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]
+        got = members.withColumn("r", rate_of(steps, most)).agg(*[F.sum(F.col("r") * t * x).alias(f"a{i}") for i, x in enumerate(p)], *active).first()
+        return np.array([got[f"a{i}"] or 0.0 for i in range(d)]), square(got)
+
+    square = lambda row: np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+    whole = square(members.agg(*[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(i, d)]).first())
+    # a zero step, so that the bounds hold from the start
+    best: list[np.ndarray] = [np.zeros(d)]
+    now, moment = look(best)[0], whole
+    ridge, plain = np.eye(d) * 1e-4 * whole.trace(), np.eye(d) * np.linalg.eigvalsh(whole).max()
+    tries = turn = 0
+    while tries < STEPS and off(now) > TOLERANCE:
         tries += 1
-        step = size * np.linalg.solve(moment + np.eye(d) * 1e-4 * square(row).trace(), now - goal)
-        got = members.withColumn("__r", rate_of([*best, step])).agg(*[F.sum(F.col("__r") * t * x).alias(f"a{i}") for i, x in enumerate(p)], *active).first()
-        new = np.array([got[f"a{i}"] or 0.0 for i in range(d)])
-        if miss(new) < 0.999 * miss(now):
-            best, now, moment, size = [*best, step], new, square(got), min(1.0, 2 * size)
-        else:  # rates that a step brings back from 0 can carry it too far
-            size /= 2
+        # scaled by the free documents' moments, by all documents', shorter; last a plain gradient step, which always descends
+        scale, size = [(moment + ridge, 1.0), (whole + ridge, 1.0), (moment + ridge, 0.25), (whole + ridge, 0.25), (moment + ridge, 0.05), (plain, 1.0)][turn]
+        step = size * np.linalg.solve(scale, now - goal)
+        new, free_now = look([*best, step])
+        if miss(new) < (0.999 if turn == 5 else 0.97) * miss(now):
+            best, now, moment, turn = [*best, step], new, free_now, 0
+        elif turn == 5:  # as near as the bounds allow
+            break
+        else:  # the step moves documents that were taken as held by a bound, or holds others
+            turn += 1
     if (left := off(now)) > 1e-3:
-        log.warning("targets missed by up to %.4f of the mixture: wanted %s, got %s tokens at rates up to %g", left, dict(zip(domains, goal.round(1).tolist(), strict=True)), dict(zip(domains, now.round(1).tolist(), strict=True)), MOST_RATE)
+        log.warning("targets missed by up to %.4f of the mixture: wanted %s, got %s tokens", left, dict(zip(domains, goal.round(1).tolist(), strict=True)), dict(zip(domains, now.round(1).tolist(), strict=True)))
     return best
 
 
@@ -217,35 +243,37 @@ def copies_of(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text_col: str = "text", least_wanted: int = 0) -> tuple[DataFrame, list[str]]:
-    """The documents with ``__tokens``, ``__p``, ``__rate`` and ``__copies``; also the domains in the order of ``__p``.
+def mixed(docs: DataFrame, membership: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, text_col: str = "text", least: float = 0.0, most: float | None = None, carry: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """``row`` (the documents' columns, or those of ``carry``), ``tokens``, ``p``, ``rate`` and ``copies``; also the domains in the order of ``p``.
 
-    A document whose likeliest domain has a greater target than share now, or the greatest target of all, gets ``least_wanted`` copies at least.
+    A document whose likeliest domain has a greater target than share now, or the greatest target of all, has a rate of ``least``
+    at least; no rate is above ``most``. Texts are read once for the posteriors, which are kept with the rows.
     """
     targets = targets or TARGETS
     model = fit_classifier(docs, membership, text_col)
-    rows = model.posteriors(docs, text_col)
-    members = cut(rows.select("__tokens", "__p"))
-    steps = fit_rates(members, model.domains, targets, total)
-    out = rows.withColumn("__rate", held(rate_of(steps)))
-    out = out.withColumn("__copies", held(copies_of(F.col("__rate"), F.col("doc_id"))))
-    if least_wanted and model.domains:
-        has = members.agg(*[F.sum(F.col("__tokens") * F.get("__p", F.lit(k))).alias(f"a{k}") for k in range(len(model.domains))]).first()
-        has = [x or 0.0 for x in has]
-        most = max(targets.get(n, 0.0) for n in model.domains)
-        wanted = [targets.get(name, 0.0) == most or targets.get(name, 0.0) * sum(has) >= x * sum(targets.get(n, 0.0) for n in model.domains) for name, x in zip(model.domains, has, strict=True)]
-        likeliest = F.array_position("__p", F.array_max("__p")).cast("int") - 1
-        out = out.withColumn("__copies", F.when(F.get(literal([str(w).lower() for w in wanted], "boolean"), likeliest), F.greatest("__copies", F.lit(least_wanted))).otherwise(F.col("__copies")))
-        out = out.withColumn("__copies", held(F.col("__copies")))
-    return out, model.domains
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry or docs.columns]).alias("row"), docs["doc_id"].alias("key"), docs[f"`{text_col}`"].alias("text"))
+    rows = model.posteriors(rows, "text")
+    members = cut(rows.select("row", "key", F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
+    floor = F.lit(0.0)
+    if least and model.domains:
+        has, all_targets = domain_tokens(members, len(model.domains)), sum(targets.get(n, 0.0) for n in model.domains)
+        top = max(targets.get(n, 0.0) for n in model.domains)
+        wanted = [targets.get(n, 0.0) == top or targets.get(n, 0.0) * has.sum() >= x * all_targets for n, x in zip(model.domains, has, strict=True)]
+        likeliest = F.array_position("p", F.array_max("p")).cast("int") - 1
+        floor = F.when(F.get(literal([str(w).lower() for w in wanted], "boolean"), likeliest), F.lit(float(least))).otherwise(F.lit(0.0))
+    members = members.withColumn("floor", floor)
+    # the fit passes over numbers only
+    steps = fit_rates(cut(members.select("tokens", "p", "floor")), model.domains, targets, total, most)
+    out = members.withColumn("rate", held(rate_of(steps, most)))
+    return out.select("row", "tokens", "p", "rate", copies_of(F.col("rate"), F.col("key")).alias("copies")), model.domains
 
 
 def op2_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents for the target weights of the domains clean, low and toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out, domains = mixed(documents(spark, sf_dir).select("doc_id", "text"), domain_of_labels(labels))
-    p = [F.get(F.col("__p"), F.lit(k)).alias(f"p_{name}") for k, name in enumerate(domains)]
-    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), *p, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    out, domains = mixed(documents(spark, sf_dir), domain_of_labels(labels), carry=["doc_id"])
+    p = [F.get(F.col("p"), F.lit(k)).alias(f"p_{name}") for k, name in enumerate(domains)]
+    return out.select("row.doc_id", F.col("tokens").alias("n_tokens"), *p, "rate", "copies")
 
 
 QUERIES = {"op2_soft_mixture": op2_soft_mixture}

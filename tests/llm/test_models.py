@@ -145,27 +145,52 @@ def test_components(spark):
 
 def test_mixture_meets_its_targets(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows, domains = mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet"), mixing.domain_of_labels(labels))
-    d = rows.select("__tokens", "__p", "__rate", "__copies", "doc_id", "text").toPandas()
-    p, t, r = np.array(d["__p"].tolist()), d["__tokens"].to_numpy(), d["__rate"].to_numpy()
-    assert np.allclose(p.sum(1), 1) and (r >= 0).all() and (r <= mixing.MOST_RATE).all()
-    assert (t == [len([w for w in x.translate(str.maketrans("\n\t\r", "   ")).split(" ") if w]) for x in d["text"]]).all()
-    share = (p * (t * r)[:, None]).sum(0)
-    assert np.allclose(share / share.sum(), [mixing.TARGETS[k] for k in domains], atol=1e-3)
-    assert (np.abs(d["__copies"] - r) < 1).all()
+    for least in (0.0, 1.0):
+        rows, domains = mixing.mixed(spark.read.parquet(f"{SF}/documents.parquet"), mixing.domain_of_labels(labels), least=least)
+        d = rows.select("tokens", "p", "rate", "copies", "row.doc_id", "row.text").toPandas()
+        p, t, r = np.array(d["p"].tolist()), d["tokens"].to_numpy(), d["rate"].to_numpy()
+        assert np.allclose(p.sum(1), 1) and (r >= 0).all()
+        assert (t == [len([w for w in x.translate(str.maketrans("\n\t\r", "   ")).split(" ") if w]) for x in d["text"]]).all()
+        share = (p * (t * r)[:, None]).sum(0)
+        assert (np.abs(d["copies"] - r) < 1).all()
+        if least:  # nearer to the targets than before, as far as the documents that stay allow
+            assert (r[p.argmax(1) == domains.index("clean")] >= 1).all()
+            goal, before = np.array([mixing.TARGETS[k] for k in domains]), (p * t[:, None]).sum(0)
+            assert np.abs(share / share.sum() - goal).max() < np.abs(before / before.sum() - goal).max()
+        else:
+            assert np.allclose(share / share.sum(), [mixing.TARGETS[k] for k in domains], atol=1e-3)
 
 
 def test_mixture_edges(spark):
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "a b", 0), (3, "a b", 0)], "doc_id long, text string, __rate_old int")
+    docs = spark.createDataFrame([(1, None, 0, 1.0), (2, "", 0, 1.0), (3, "a b", 0, 1.0), (3, "a b", 0, 1.0)], "doc_id long, text string, __p int, rate double")
     none = spark.createDataFrame([], "doc_id long, domain string")
     rows, domains = mixing.mixed(docs, none)
-    assert domains == [] and rows.count() == 4
+    assert domains == [] and rows.count() == 4 and rows.select("row.*").columns == docs.columns
     one = spark.createDataFrame([(3, "clean")], "doc_id long, domain string")
     rows, domains = mixing.mixed(docs, one)
-    assert domains == ["clean"] and {r["__rate"] for r in rows.collect()} == {1.0}
+    assert domains == ["clean"] and {r["rate"] for r in rows.collect()} == {1.0}
     assert mixing.mixed(docs.filter("false"), one)[0].count() == 0
 
 
+@pytest.mark.parametrize("most", [None, 1.5])
+def test_rates_against_plain_projected_gradient(spark, most):
+    r = np.random.default_rng(4)
+    p, t, floor = r.dirichlet([0.5, 0.3, 0.2], 200), r.integers(1, 200, 200), (r.random(200) < 0.3) * 1.0
+    members = spark.createDataFrame([(i, p[i].tolist(), int(t[i]), float(floor[i])) for i in range(200)], "doc_id long, p array<double>, tokens long, floor double")
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2} if most is None else {"a": 0.3, "b": 0.1, "c": 0.6}
+    steps = mixing.fit_rates(members, ["a", "b", "c"], targets, most=most)
+    rate = np.array([x["r"] for x in members.withColumn("r", mixing.rate_of(steps, most)).orderBy("doc_id").collect()])
+    assert (rate >= floor).all() and (most is None or (rate <= most).all())
+    has = (p * t[:, None]).sum(0)
+    want = np.array(list(targets.values()))
+    goal = want * (has / want)[want.argmax()]
+    plain, a = np.ones(200), p * t[:, None]
+    for _ in range(20_000):
+        plain = np.clip(plain - (a @ (plain @ a - goal)) / np.linalg.norm(a, 2) ** 2, floor, most)
+    loss = lambda x: float(((x @ a - goal) ** 2).sum()) ** 0.5 / goal.sum()
+    assert loss(rate) <= loss(plain) + 2e-3
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     cols, n = docs.columns, docs.count()
@@ -193,9 +218,41 @@ def test_near_copies_with_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("toxic", [10, 40])
 def test_mixture_keeps_clean_documents_at_any_supply(spark, toxic, caplog):
-    rows = [(i, [0.0, 1.0] if i < toxic else [1.0, 0.0], 10) for i in range(1000)]
-    members = spark.createDataFrame(rows, "doc_id long, __p array<double>, __tokens long")
-    steps = mixing.fit_rates(members, ["clean", "toxic"], {"clean": 0.95, "toxic": 0.05})
-    rate = {r.doc_id: r["__rate"] for r in members.withColumn("__rate", mixing.rate_of(steps)).collect()}
-    assert all(abs(rate[i] - 1) < 0.02 for i in range(toxic, 1000))
-    assert ("targets missed" in caplog.text) == (toxic == 10)
+    rows = [(i, [0.0, 1.0] if i < toxic else [1.0, 0.0], 10, 0.0) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, p array<double>, tokens long, floor double")
+    for most in (None, 4.0):
+        caplog.clear()
+        steps = mixing.fit_rates(members, ["clean", "toxic"], {"clean": 0.95, "toxic": 0.05}, most=most)
+        rate = {r.doc_id: r["rate"] for r in members.withColumn("rate", mixing.rate_of(steps, most)).collect()}
+        assert all(abs(rate[i] - 1) < 0.02 for i in range(toxic, 1000))
+        assert ("targets missed" in caplog.text) == (toxic == 10 and most is not None)
+
+
+def test_unrelated_sets_share_no_block():
+    r = np.random.default_rng(1)
+    for percent in (80, 90):
+        for n in (20, 50, 200, 400, 2_000, 12_200, 20_000):
+            sets = [set(jaccard.blocks(np.unique(r.integers(0, 2**63, n).astype(np.uint64)), percent).tolist()) for _ in range(8)]
+            assert not any(a & b for i, a in enumerate(sets) for b in sets[:i])
+
+
+def test_sets_that_link_share_a_block():
+    r = np.random.default_rng(2)
+    frequent = r.random(jaccard.CELLS) < 0.3
+    for percent in (50, 80, 90):
+        for n in (2, 3, 4, 5, 6, 9, 10, 14, 30, 31, 100, 1000):
+            h = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            own = set(jaccard.blocks(h, percent, frequent).tolist())
+            for _ in range(60):
+                gone, new = r.integers(0, jaccard.differences(n, percent) + 2, 2)
+                g = np.unique(np.concatenate([r.permutation(h)[gone:], r.integers(0, 2**63, new).astype(np.uint64)]))
+                both = len(np.intersect1d(g, h))
+                if len(g) and 100 * both >= percent * (len(g) + n - both) and not np.array_equal(g, h):
+                    assert own & set(jaccard.blocks(g, percent, frequent).tolist()), (percent, n, gone, new)
+
+
+def test_join_of_all_documents_is_the_brute_force_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for words, percent in ((3, 90), (5, 80)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs, words, percent).collect()} == jaccard.brute(texts, words, percent)

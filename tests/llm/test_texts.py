@@ -210,11 +210,12 @@ def test_template_lines(spark):
     rows = [(i, f"{noise(i, 0)}\nrequest {i * 17} took {i} ms on host{i}\n{noise(i, 1)}\n{noise(i, 2)}") for i in range(12)]
     rows += [(100 + i, "\n".join(f"copied text number {chr(97 + k)} stays as it is" for k in range(6))) for i in range(5)]
     rows += [(200, None), (201, ""), (202, "short"), (203, "request 5 took 9 ms on host1")]
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, no int, line string")
-    out = {r.doc_id: r for r in templates.deduped(df).collect()}
-    assert len(out) == len(rows) and all(r.no == 1 and r.line == "x" for r in out.values())
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, __no int, kt string")
+    both = {r.row.doc_id: r for r in templates.deduped(df).collect()}
+    out = {i: r.row for i, r in both.items()}
+    assert len(out) == len(rows) and all(r["__no"] == 1 and r.kt == "x" for r in out.values())
     for i in range(12):
-        assert out[i]["__dropped"] == [1] and "request" not in out[i].text and out[i].text.count("\n") == 2
+        assert both[i].dropped == [1] and "request" not in out[i].text and out[i].text.count("\n") == 2
     assert all(out[100 + i].text.count("copied") == 6 for i in range(5))  # whole copies are for document dedup
     assert out[200].text is None and out[201].text == "" and out[202].text == "short" and out[203].text.startswith("request")
     assert templates.deduped(df.filter("false")).count() == 0
@@ -224,14 +225,14 @@ def test_templates_generalise_words(spark):
     names = "anna bert carl dora emil fritz gerd hans".split()
     rows = [(i, f"own words {chr(97 + i)} here {chr(110 + i)}\nthe user named {n} has signed in from the west side gate today") for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert all(r["__dropped"] == [1] for r in templates.deduped(df).collect())
+    assert all(r.dropped == [1] for r in templates.deduped(df).collect())
 
 
 def test_a_line_recurs_whatever_it_hashes_to(spark):
     rows = [(100 * k + i, f"shared passage number {chr(97 + k)} has its place here\nown {chr(97 + k)} words {chr(97 + i)} stand here and so do some more of them") for k in range(16) for i in range(5)]
     rows += [(10_000 + i, rows[0][1]) for i in range(30)]  # copies take nothing from the count
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert all(r["__dropped"][:1] == [0] for r in templates.deduped(df).collect())
+    assert all(r.dropped[:1] == [0] for r in templates.deduped(df).collect())
 
 
 def test_several_templates_of_a_leaf(spark):
@@ -241,7 +242,7 @@ def test_several_templates_of_a_leaf(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
     rows += [(100 + i, f"{word()} {word()} {word()}\nthe user named " + " ".join(word() for _ in range(10))) for i in range(60)]
-    out = {x.doc_id: x["__dropped"] for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {x.row.doc_id: x.dropped for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == ([1] if i < 100 else []) for i in out)
 
 
@@ -256,5 +257,5 @@ def test_a_passage_goes_from_documents_that_are_mostly_it(spark):
     rows += [(30 + i, "\n".join([*base[:i], f"another {word(i, 5)} line {word(i, 6)}", *base[i + 1 :]])) for i in range(4)]  # near copies
     pair = [" ".join(word(i + 300, k + 3 * i) for k in range(60 if i == 1 else 12)) for i in range(9)]
     rows += [(40 + i, "\n".join([*pair, f"another {word(i, 7)} line {word(i, 9)}"])) for i in range(2)]  # a pair of near copies
-    out = {x.doc_id: x["__dropped"] for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {x.row.doc_id: x.dropped for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == ([0] if i < 30 else []) for i in out)

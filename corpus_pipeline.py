@@ -5,8 +5,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 1. quality: documents that the additive model scores below its threshold go.
 2. lines: lines of templates that recur across documents are cut out of the texts.
 3. near_copies: of documents connected by links (five words, similarity 0.8) the one with the least id stays.
-4. mixture: documents are repeated or left out by the rates that match the target weights. A document that is likelier of
-   a domain the targets ask for more of than of any other keeps one copy at least.
+4. mixture: documents are repeated or left out by the rates that match the target weights. In the fit, a document that is likelier of
+   a domain the targets ask for more of than of any other has a rate of 1 at least, and none a rate above MOST.
 5. packing: the tokens of what is left in sequences of 2048.
 """
 
@@ -21,6 +21,7 @@ from parlance.llm.common import cut, documents
 
 #: Of what passes the quality stage, hardly a document is of the domain ``low``.
 TARGETS = {"clean": 0.96, "low": 0.01, "toxic": 0.03}
+MOST = 4.0
 ORACLE_SQL = None
 
 
@@ -36,9 +37,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines of recurring templates."""
     out = templates.deduped(docs)
+    cols = [F.col("row").getField(c).alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = F.char_length("row.text").cast(docs.schema["n_chars"].dataType)
+        cols[docs.columns.index("n_chars")] = F.when(F.size("dropped") > 0, n).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return out.select(*cols)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +51,8 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture wants them."""
-    out, _ = mixing.mixed(docs, mixing.domain_of_labels(labels(spark, sf_dir)), TARGETS, least_wanted=1)
-    out = out.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*docs.columns)
+    out, _ = mixing.mixed(docs, mixing.domain_of_labels(labels(spark, sf_dir)), TARGETS, least=1.0, most=MOST)
+    return out.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Tasks over which one key of a join is dealt; AQE parts what is still skewed.
 SALTS = 16
-#: Words of 64 bits of a bitmap that is broadcast, 16 MB at most.
-BITMAP = 1 << 20
+#: Words of 64 bits of a bitmap that is broadcast, 10 MB at most as rows.
+BITMAP = 1 << 18
 #: Rows of one Arrow batch that carries whole texts; with texts of 100 kB a batch stays below 30 MB.
 TEXT_ROWS = 256
 

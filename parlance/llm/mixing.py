@@ -205,7 +205,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     def look(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The domains' totals under these steps, and the moments of the documents whose rates are free to move: between their
         bounds, or at one from which a further step like the last leads them away."""
-        down = sum((F.lit(float(g)) * x for g, x in zip(steps[-1], p, strict=True)), F.lit(0.0))
+        last = literal([repr(float(g)) for g in steps[-1]], "double")
+        down = sum((F.get(last, F.lit(k)) * x for k, x in enumerate(p)), F.lit(0.0))
         free = (F.col("r") > F.col("floor")) | (down < 0)
         if most is not None:
             free &= (F.col("r") < most) | (down > 0)
@@ -226,7 +227,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         scale, size = [(moment + ridge, 1.0), (whole + ridge, 1.0), (moment + ridge, 0.25), (whole + ridge, 0.25), (moment + ridge, 0.05), (plain, 1.0)][turn]
         step = size * np.linalg.solve(scale, now - goal)
         new, free_now = look([*best, step])
-        if miss(new) < (0.999 if turn == 5 else 0.97) * miss(now):
+        if miss(new) < (0.99 if turn == 5 else 0.9) * miss(now):
             best, now, moment, turn = [*best, step], new, free_now, 0
         elif turn == 5:  # as near as the bounds allow
             break

@@ -52,19 +52,24 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, r"[\\/]+\z", ""), r"[\\/]"), -1)
 
 
-def classify(key: Column, part: int = 0) -> Column:
-    """The placeholder (part 0), category (1) or id (2) of a key, null if it is not sensitive. Patterns match anywhere in the key."""
-    out = F.when(F.lower(key).isin(*P.STRUCTURAL), F.lit(None).cast("string"))
+def classified(key: Column) -> Column:
+    """What a key says of its value: placeholder, category and id, null if it is not sensitive. Patterns match anywhere in the key."""
+    out = F.when(F.lower(key).isin(*P.STRUCTURAL), F.lit(None).cast("struct<placeholder:string,category:string,name:string>"))
     for pattern, *said in P.KEYS:
-        out = out.when(key.rlike("(?i)" + pattern), said[part])
+        out = out.when(key.rlike("(?i)" + pattern), hit(*map(F.lit, said)))
     return out
 
 
-def replaced(text: Column, pattern: str, put: Callable[[Column], Column]) -> Column:
-    """Each match of a pattern replaced by an expression of it: the gaps and the matches, laid side by side again."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(F.coalesce(g, F.lit("")), F.coalesce(put(m), F.lit("")))), "")
+def hit(placeholder: Column, category: Column, name: Column) -> Column:
+    return F.struct(placeholder.alias("placeholder"), category.alias("category"), name.alias("name"))
+
+
+def classify(key: Column, part: int = 0) -> Column:
+    """The placeholder (part 0), category (1) or id (2) of a key, null if it is not sensitive."""
+    return classified(key)[("placeholder", "category", "name")[part]]
 
 
-def counted(text: Column, pattern: str, is_hit: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), is_hit))
+def tally(names: Column) -> Column:
+    """How often each name occurs, as a map in the order of names."""
+    keys = F.array_sort(F.array_distinct(names))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(names, lambda n: n == k)).cast("long")))

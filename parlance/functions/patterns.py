@@ -47,6 +47,9 @@ JSON_PAIR = r'"([A-Za-z0-9_.-]{3,50})"\s*:\s*"([^"]+)"'
 KV_LINE = r"(?m)^(\s*export\s+)?([A-Za-z0-9_.-]+)\s*[:=]\s*([^\s#]+)(.*)$"
 COOKIES = r"(?i)(Set-Cookie|Cookie):\s*([^\r\n]+)"
 
+#: Every key of KEYS holds one of these, so a text without any has no sensitive key.
+SENSITIVE = r"(?i)key|token|secret|sid|session|cookie|csrf|passw|pwd|passphrase|email|phone|mobile|tel|authorization"
+
 #: Trigger words and prefixes.
 SEVERITY = ("fatal", "timeout", "denied", "rollback")
 SEMANTIC = ("值得提", "issue", "模板", "template", "后续可抽象", "abstract")

@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parlance.functions import patterns as P
+from parlance.operators.redact import redacted
 
 #: Keys whose string values are copied untouched.
 UNTOUCHED = ("session_id", "message_id", "captured_at", "capture_trigger", "aic_version", "provider")
@@ -27,7 +29,7 @@ def rx(pattern: str, fold: bool = False) -> re.Pattern:
 
 KEYS = [(rx(p, True), put, category, name) for p, put, category, name in P.KEYS]
 INLINE = [(name, rx(p, fold), put, category) for name, p, fold, put, category in P.INLINE]
-HEADERS = [(rx(r"Authorization:\s*Bearer\s+[^\s]+", True), "Authorization: [AUTH_HEADER:BEARER]"), (rx(r"Authorization:\s*Basic\s+[A-Za-z0-9+/=]+", True), "Authorization: [AUTH_HEADER:BASIC]")]
+HEADERS = [(rx(r"Authorization:\s*Bearer\s+[^\s]+", True), "bearer"), (rx(r"Authorization:\s*Basic\s+[A-Za-z0-9+/=]+", True), "basic")]
 NAMED, COOKIES, PAIR = rx(r"(X-Api-Key|X-Auth-Token):\s*([^\s]+)", True), rx(P.COOKIES), rx(P.JSON_PAIR)
 LINE, ASSIGNED, PARAM = rx(P.KV_LINE), rx(P.INLINE_ASSIGNMENT), rx(P.URL_PARAM)
 
@@ -86,9 +88,9 @@ class Gateway:
                 text = json.dumps(self.walk(json.loads(text)), indent=2, ensure_ascii=False)
             except ValueError:
                 pass
-        for p, put in HEADERS:
-            text = p.sub(lambda m, put=put: self.hit("auth-header", put.split(": ")[1], "auth_header") and put, text)
-        text = NAMED.sub(lambda m: f"{m[1]}: {self.hit('auth-header', f'[AUTH_HEADER:{m[1].upper().replace("-", "_")}]', 'auth_header')}", text)
+        for p, kind in HEADERS:
+            text = p.sub(lambda m, kind=kind: "Authorization: " + self.hit(f"auth-header:{kind}", f"[AUTH_HEADER:{kind.upper()}]", "auth_header"), text)
+        text = NAMED.sub(lambda m: f"{m[1]}: " + self.hit(f"auth-header:{m[1].lower()}", f"[AUTH_HEADER:{m[1].upper().replace('-', '_')}]", "auth_header"), text)
         text = COOKIES.sub(self.cookies, text)
         text = PAIR.sub(self.pair, text)
         text = LINE.sub(self.line, text)
@@ -102,7 +104,7 @@ class Gateway:
         out = []
         for part in re.split(r";\s*", m[2]):
             name, _, value = part.partition("=")
-            out.append(f"{name}={self.hit('cookie', f'[COOKIE:{name.strip().upper()}]', 'cookie')}" if name and value.split("=")[0] else part)
+            out.append(f"{name}={self.hit(f'cookie:{name.lower()}', f'[COOKIE:{name.strip().upper()}]', 'cookie')}" if value.split("=")[0] else part)
         return f"{m[1]}: {'; '.join(out)}"
 
     def pair(self, m: re.Match) -> str:
@@ -110,7 +112,7 @@ class Gateway:
         return f'"{m[1]}": "{self.hit(c[2] + ":json", c[0], c[1])}"' if c else m[0]
 
     def line(self, m: re.Match) -> str:
-        c = None if m[2].lower() in ("authorization", "cookie", "set-cookie") else self.classify(m[2])
+        c = None if m[2].lower() in ("authorization", "cookie") else self.classify(m[2])
         if not c:
             return m[0]
         self.text(m[4])  # what stood behind the value is not kept, but counted
@@ -121,9 +123,9 @@ class Gateway:
         return f"{m[1]}={self.hit(c[2] + ':inline', c[0], c[1])}" if c else m[0]
 
     def param(self, m: re.Match) -> str:
-        c = self.classify(m[2])
-        put = c[0] if c else f"[URL_PARAM:{m[2].upper()}]"
-        return f"{m[1]}{m[2]}={self.hit('url-param', put, 'password' if 'password' in m[2].lower() else 'url_param')}"
+        low = m[2].lower()
+        put, category, name = self.classify(m[2]) or (f"[URL_PARAM:{m[2].upper()}]", "password" if "password" in low else "url_param", f"url-param:{low}")
+        return f"{m[1]}{m[2]}={self.hit(name, put, category)}"
 
     def risk(self) -> str:
         return "high" if any(self.by_type[c] for c in P.HIGH_RISK) else "medium" if any(self.by_type[c] for c in P.MEDIUM_RISK) else "low"
@@ -163,3 +165,16 @@ def gated(df: DataFrame, id_col: str, col: str, ignore: tuple[str, ...] = ()) ->
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], names=["id", "text", "total", "by_type", "by_placeholder", "patterns", "risk_level"])
 
     return df.select(id_col, col).mapInArrow(rows, f"id {kind}, text string, total long, by_type map<string,long>, by_placeholder map<string,long>, patterns array<string>, risk_level string")
+
+
+#: Texts that the column passes cannot settle: JSON blocks, and sensitive lines with more behind the value, which is counted too.
+WALKED = rf"^\s*[{{\[]|(?m)^(?:\s*export\s+)?[A-Za-z0-9_.-]*{P.SENSITIVE.replace('(?i)', '(?i:')})[A-Za-z0-9_.-]*\s*[:=]\s*[^\s#]+[^\r\n]*\S"
+
+
+def sanitized(df: DataFrame, id_col: str, col: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """What ``gated`` gives, with the column passes for all texts but those that have to be walked."""
+    rows = df.select(id_col, col)
+    walk = F.coalesce(F.col(col).rlike(WALKED), F.lit(False))
+    plain = redacted(rows.filter(~walk), col, ignore, "__redaction")
+    plain = plain.select(F.col(id_col).alias("id"), F.col(col).alias("text"), "__redaction.*")
+    return plain.unionByName(gated(rows.filter(walk), id_col, col, ignore))

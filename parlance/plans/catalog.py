@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
 from parlance.functions import patterns as P
-from parlance.operators import archive, distill, evaluation, redact, triggers
-from parlance.plans.probes import PROBE, SPARK_PROBE
+from parlance.operators import archive, distill, evaluation, gateway, redact, triggers
+from parlance.plans.probes import LINES, PROBE, SPARK_LINES, SPARK_PROBE
 from parlance.session import table
 from parlance.sources.adapters import MESSAGES, captures, messages, sessions
 
@@ -53,50 +53,85 @@ def _inline(key: str, name: str) -> None:
 for _key, _name in (("redact_openai_key", "api-key-openai"), ("redact_github", "github-token"), ("redact_aws", "aws-access-key"), ("redact_bearer", "bearer-inline"), ("redact_email", "email-inline"), ("redact_phone", "phone-inline"), ("redact_path", "sensitive-path")):
     _inline(_key, _name)
 
-_HEADERS = [(r"(?i)Authorization:\s*Bearer\s+[^\s]+", "Authorization: [AUTH_HEADER:BEARER]"), (r"(?i)Authorization:\s*Basic\s+[A-Za-z0-9+/=]+", "Authorization: [AUTH_HEADER:BASIC]"), (r"(?i)X-Api-Key:\s*[^\s]+", "X-Api-Key: [AUTH_HEADER:X_API_KEY]"), (r"(?i)X-Auth-Token:\s*[^\s]+", "X-Auth-Token: [AUTH_HEADER:X_AUTH_TOKEN]")]
-
-
-def _headers_sql() -> str:
-    steps, t = [], "d"
-    for i, (p, put) in enumerate(_HEADERS):
-        steps.append(f"h{i} AS (SELECT doc_id, {'0' if i == 0 else 'hits'} + len(regexp_extract_all(t, {q(p)})) AS hits, regexp_replace(t, {q(p)}, {q(put)}, 'g') AS t FROM {t})")
-        t = f"h{i}"
-    return f"WITH {PROBED}, {', '.join(steps)} SELECT doc_id, CAST(hits AS BIGINT) AS hits, md5(t) AS redacted_md5 FROM {t}"
-
-
-@query(_headers_sql())
-def redact_auth_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, hits = redact.auth_headers(F.col("t"))
-    return probed(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text.cast("binary")).alias("redacted_md5"))
-
-
 def _classify_sql(key: str, part: int = 0) -> str:
     rules = " ".join(f"WHEN regexp_matches({key}, {q('(?i)' + p)}) THEN {q(said[part])}" for p, *said in P.KEYS)
     return f"CASE WHEN lower({key}) IN ({', '.join(map(q, P.STRUCTURAL))}) THEN NULL {rules} END"
 
 
-def _replaced_sql(pattern: str, key: str, hit: str, put: str) -> str:
-    """One pass of matches laid back between their gaps; ``k`` is a match's key, ``m`` the match."""
-    return f"""WITH {PROBED}, s AS (SELECT doc_id, regexp_split_to_array(t, {q(pattern)}) AS g, regexp_extract_all(t, {q(pattern)}) AS ms FROM d),
-r AS (SELECT doc_id, g, list_transform(ms, lambda m: {{'m': m, 'k': {key}}}) AS ks FROM s),
-u AS (SELECT doc_id, g, list_transform(ks, lambda x: {{'m': x.m, 'k': x.k, 'p': {_classify_sql('x.k')}}}) AS ps FROM r)
-SELECT doc_id, CAST(len(list_filter(ps, lambda x: {hit})) AS BIGINT) AS hits,
-md5(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(list_transform(ps, lambda x: CASE WHEN {hit} THEN {put} ELSE x.m END)[i], '')), '')) AS redacted_md5 FROM u"""
+def _keyed(pattern: str, key: str, put: str, but: str = "false", other: str | None = None, category: str = "NULL") -> tuple[str, str, str, str, str]:
+    """A pass whose key ``k`` decides: (pattern, key, placeholder, category, put)."""
+    p = f"CASE WHEN {but} THEN NULL ELSE {_classify_sql('x.k')} END"
+    c = f"CASE WHEN {but} THEN NULL ELSE {_classify_sql('x.k', 1)} END"
+    return pattern, key, (f"coalesce({p}, {other})" if other else p), (f"coalesce({c}, {category})" if other else c), put
+
+
+def _header(pattern: str, placeholder: str, put: str) -> tuple[str, str, str, str, str]:
+    return pattern, "regexp_extract(m, '^([^:]+):', 1)", placeholder, "'auth_header'", put
+
+
+#: The passes as SQL over a match ``x.m`` and its key ``x.k``; ``z.p`` is the placeholder found (null: no hit).
+_SQL_PASSES = {
+    "bearer": _header(r"(?i)Authorization:\s*Bearer\s+[^\s]+", "'[AUTH_HEADER:BEARER]'", "'Authorization: ' || z.p"),
+    "basic": _header(r"(?i)Authorization:\s*Basic\s+[A-Za-z0-9+/=]+", "'[AUTH_HEADER:BASIC]'", "'Authorization: ' || z.p"),
+    "named": _header(r"(?i)(?:X-Api-Key|X-Auth-Token):\s*[^\s]+", "'[AUTH_HEADER:' || upper(replace(x.k, '-', '_')) || ']'", "z.k || ': ' || z.p"),
+    "json": _keyed(P.JSON_PAIR, """regexp_extract(m, '^"([^"]+)"', 1)""", """'"' || z.k || '": "' || z.p || '"'"""),
+    "kv": _keyed(P.KV_LINE, f"regexp_extract(m, {q(P.KV_LINE)}, 2)", f"regexp_extract(z.m, {q(P.KV_LINE)}, 1) || z.k || '=' || z.p", "lower(x.k) IN ('authorization', 'cookie')"),
+    "inline": _keyed(P.INLINE_ASSIGNMENT, "regexp_extract(m, '^([A-Za-z0-9_.-]+)', 1)", "z.k || '=' || z.p", r"regexp_matches(x.m, '(?s)=\s*\[.*\]\z')"),
+    "url": _keyed(P.URL_PARAM, "regexp_extract(m, '^[?&]([^=]+)=', 1)", "substring(z.m, 1, 1) || z.k || '=' || z.p", other="'[URL_PARAM:' || upper(x.k) || ']'", category="CASE WHEN contains(lower(x.k), 'password') THEN 'password' ELSE 'url_param' END"),
+}
+for _name, _p, _fold, _put, _cat in P.INLINE:
+    _SQL_PASSES[_name] = (P.re2(_p, _fold), "''", q(_put), q(_cat), "z.p")
+
+
+def _pass_sql(i: int, source: str, name: str) -> str:
+    """CTEs that run one pass over ``source`` (doc_id, t, cats, puts) and end in ``p<i>`` of the same columns."""
+    if name == "cookies":
+        pair, label = "regexp_matches(c, '(?s)^[^=]*=[^=]')", "'[COOKIE:' || upper(trim(string_split(c, '=')[1])) || ']'"
+        body = r"string_split_regex(regexp_extract(m, '(?is)^(?:Set-Cookie|Cookie):\s*(.*)\z', 1), ';\s*')"
+        put = f"regexp_extract(m, '(?i)^(Set-Cookie|Cookie):', 1) || ': ' || array_to_string(list_transform({body}, lambda c: CASE WHEN {pair} THEN string_split(c, '=')[1] || '=' || {label} ELSE c END), '; ')"
+        found = f"list_transform(ms, lambda m: {{'m': m, 'put': {put}, 'ps': list_transform(list_filter({body}, lambda c: {pair}), lambda c: {label})}})"
+        return f"""s{i} AS (SELECT *, regexp_split_to_array(t, {q(P.COOKIES)}) AS g, regexp_extract_all(t, {q(P.COOKIES)}) AS ms FROM {source}),
+u{i} AS (SELECT *, {found} AS ws FROM s{i}),
+p{i} AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(list_transform(ws, lambda w: w.put)[i], '')), '') AS t,
+puts || flatten(list_transform(ws, lambda w: w.ps)) AS puts, cats || list_transform(flatten(list_transform(ws, lambda w: w.ps)), lambda w: 'cookie') AS cats FROM u{i})"""
+    pattern, key, placeholder, category, put = _SQL_PASSES[name]
+    return f"""s{i} AS (SELECT *, regexp_split_to_array(t, {q(pattern)}) AS g, regexp_extract_all(t, {q(pattern)}) AS ms FROM {source}),
+k{i} AS (SELECT *, list_transform(ms, lambda m: {{'m': m, 'k': {key}}}) AS ks FROM s{i}),
+u{i} AS (SELECT *, list_transform(ks, lambda x: {{'m': x.m, 'k': x.k, 'p': {placeholder}, 'c': {category}}}) AS zs FROM k{i}),
+p{i} AS (SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(list_transform(zs, lambda z: CASE WHEN z.p IS NOT NULL THEN {put} ELSE z.m END)[i], '')), '') AS t,
+puts || list_transform(list_filter(zs, lambda z: z.p IS NOT NULL), lambda z: z.p) AS puts, cats || list_transform(list_filter(zs, lambda z: z.p IS NOT NULL), lambda z: z.c) AS cats FROM u{i})"""
+
+
+def _passes_sql(text_cte: str, names: list[str]) -> tuple[str, str]:
+    """(CTEs, name of the last) of passes after one another over ``d`` (doc_id, t)."""
+    steps, at = [f"WITH {text_cte}, p AS (SELECT doc_id, t, CAST([] AS VARCHAR[]) AS cats, CAST([] AS VARCHAR[]) AS puts FROM d)"], "p"
+    for i, name in enumerate(names):
+        steps.append(_pass_sql(i, at, name))
+        at = f"p{i}"
+    return ", ".join(steps), at
+
+
+def _pass(key: str, apply: Callable, names: list[str], text: str = PROBED, frame: Callable | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        redacted, hits = apply(F.col("t"))
+        return (frame or probed)(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(redacted.cast("binary")).alias("redacted_md5"))
 
+    QUERIES[key] = run
+    ctes, last = _passes_sql(text, names)
+    ORACLES[key] = f"{ctes} SELECT doc_id, CAST(len(cats) AS BIGINT) AS hits, md5(t) AS redacted_md5 FROM {last}"
 
-def _pass(name: str, pass_: Callable, sql: str | None) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text, hits = pass_(F.col("t"))
-        return probed(spark, sf_dir).select("doc_id", hits.cast("long").alias("hits"), F.md5(text.cast("binary")).alias("redacted_md5"))
 
-    QUERIES[name] = run
-    if sql:
-        ORACLES[name] = sql
+def lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(SPARK_LINES).alias("t"))
 
 
-_pass("redact_inline_assignments", redact.assignments, _replaced_sql(P.INLINE_ASSIGNMENT, r"regexp_extract(m, '^([A-Za-z0-9_.-]+)', 1)", r"x.p IS NOT NULL AND NOT regexp_matches(x.m, '(?s)=\s*\[.*\]\z')", "x.k || '=' || x.p"))
-_pass("redact_url_params", redact.url_params, _replaced_sql(P.URL_PARAM, "regexp_extract(m, '^[?&]([^=]+)=', 1)", "true", "substring(x.m, 1, 1) || x.k || '=' || coalesce(x.p, '[URL_PARAM:' || upper(x.k) || ']')"))
-_pass("redact_json_pairs", redact.json_pairs, _replaced_sql(P.JSON_PAIR, """regexp_extract(m, '^"([^"]+)"', 1)""", "x.p IS NOT NULL", """'"' || x.k || '": "' || x.p || '"'"""))
+_LINED = f"d AS (SELECT doc_id, {LINES} AS t FROM documents)"
+_pass("redact_auth_headers", redact.auth_headers, ["bearer", "basic", "named"])
+_pass("redact_inline_assignments", redact.ASSIGNMENTS.apply, ["inline"])
+_pass("redact_url_params", redact.URL_PARAMS.apply, ["url"])
+_pass("redact_json_pairs", redact.JSON_PAIRS.apply, ["json"])
+_pass("redact_kv_lines", redact.KV_LINES.apply, ["kv"], _LINED, lined)
+_pass("redact_cookies", redact.COOKIES.apply, ["cookies"], _LINED, lined)
 
 _KEY_SQL = "event_type || CASE event_id % 12 WHEN 0 THEN '_api-key' WHEN 1 THEN '_token' WHEN 2 THEN 'hotel' WHEN 3 THEN '_inside' WHEN 4 THEN '_csrf' WHEN 5 THEN 'Passwd' WHEN 6 THEN '.email' WHEN 7 THEN '_mobile' WHEN 8 THEN '-secret' WHEN 9 THEN 'authorization' WHEN 10 THEN 'tokens' ELSE '' END"
 
@@ -140,9 +175,23 @@ def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(spark, sf_dir).select(F.inline(one)).groupBy("pattern", "category", "placeholder").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("documents"))
 
 
-@query()
+_ALL, _LAST = _passes_sql(PROBED, ["bearer", "basic", "named", "cookies", "json", "kv", "inline", "url", *(p[0] for p in P.INLINE)])
+_RISK = f"CASE WHEN list_has_any(cats, [{', '.join(map(q, P.HIGH_RISK))}]) THEN 'high' WHEN list_has_any(cats, [{', '.join(map(q, P.MEDIUM_RISK))}]) THEN 'medium' ELSE 'low' END AS risk_level"
+
+
+@query(f"{_ALL} SELECT doc_id, md5(t) AS redacted_md5, CAST(len(cats) AS BIGINT) AS total, array_to_string(list_sort(cats), ',') AS categories, array_to_string(list_sort(puts), ',') AS placeholders, {_RISK} FROM {_LAST}")
 def redact_all_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact.redacted(probed(spark, sf_dir), "t").select("doc_id", F.md5(F.col("t").cast("binary")).alias("redacted_md5"), F.to_json("redactions").alias("redactions"), "risk_level")
+    out = redact.with_hits(probed(spark, sf_dir), "t")
+    names = lambda part: F.array_join(F.array_sort(F.transform("hits", lambda h: h[part])), ",")
+    return out.select("row.doc_id", F.md5(F.col("t").cast("binary")).alias("redacted_md5"), F.size("hits").cast("long").alias("total"), names("category").alias("categories"), names("placeholder").alias("placeholders"), redact.risk_of(F.transform("hits", lambda h: h["category"])).alias("risk_level"))
+
+
+@query(f"{_ALL} SELECT doc_id, md5(t) AS redacted_md5, CAST(len(cats) AS BIGINT) AS total, array_to_string(list_transform(list_sort(list_distinct(cats)), lambda c: c || '=' || len(list_filter(cats, lambda x: x = c))), ',') AS by_type, {_RISK} FROM {_LAST}")
+def gateway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole gateway: column passes, and the walk for texts that need it."""
+    out = gateway.sanitized(probed(spark, sf_dir), "doc_id", "t")
+    said = F.array_join(F.transform(F.array_sort(F.map_keys("by_type")), lambda k: F.concat(k, F.lit("="), F.element_at("by_type", k))), ",")
+    return out.select(F.col("id").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("redacted_md5"), "total", said.alias("by_type"), "risk_level")
 
 
 # --- archive ---------------------------------------------------------------------------------------------------------

@@ -99,3 +99,82 @@ def first_of_fingerprint(rows: DataFrame, known: DataFrame | None, order: str) -
     out = rows if known is None else rows.join(known.select("fingerprint"), "fingerprint", "left_anti")
     least = out.groupBy("fingerprint").agg(F.min(order).alias(order))
     return out.join(least, ["fingerprint", order])
+
+
+def with_fallback(cards: DataFrame, found: DataFrame, messages: DataFrame) -> DataFrame:
+    """Cards with ``evidence``: the references that hold, else the session's first message (its text, or the problem); cards of
+    sessions without messages go."""
+    first = messages.groupBy("session_id").agg(F.min_by(F.struct("message_id", "text"), "turn").alias("m"))
+    joined = cards.join(found, ["session_id", "ord"], "left").join(first, "session_id")
+    instead = F.array(F.struct(F.col("m.message_id").alias("message_id"), F.coalesce("m.text", "problem").alias("excerpt")))
+    return joined.withColumn("evidence", F.coalesce("evidence", instead)).drop("m")
+
+
+def trace_command(session: Column, message: Column, program: str = "parlance") -> Column:
+    """How to look a piece of evidence up."""
+    return F.concat(F.lit(f"{program} trace --session "), session, F.lit(" --message "), message)
+
+
+def checked(drafts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, errors): drafts with a type, title, summary and evidence; of the others session_id and message."""
+    there = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    fields = there("type") & there("title") & there("summary")
+    proof = F.coalesce(F.size("evidence"), F.lit(0)) > 0
+    bad = drafts.filter(~(fields & proof)).select("session_id", F.when(~fields, "missing required draft fields").otherwise("evidence is required").alias("message"))
+    return drafts.filter(fields & proof), bad
+
+
+def result_id(print_: Column) -> Column:
+    """An id made of the fingerprint, so that runs repeat."""
+    return F.concat_ws("-", *[F.substring(print_, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def finished(drafts: DataFrame, distiller: str, version: str, payload_cols: list[str], program: str = "parlance") -> DataFrame:
+    """Results: the drafts with payload, fingerprint, id, distiller and a trace command for each piece of evidence. The
+    fingerprint's session is that of the evidence."""
+    body = F.to_json(F.struct(*payload_cols))
+    out = drafts.withColumn("payload", body).withColumn("fingerprint", fingerprint(distiller, F.col("session_id"), F.col("payload")))
+    proof = F.transform("evidence", lambda e: F.struct(F.col("session_id").alias("session_id"), e["message_id"].alias("message_id"), e["excerpt"].alias("excerpt"), trace_command(F.col("session_id"), e["message_id"], program).alias("trace_command")))
+    keep = [c for c in ("ord", "markdown", "repo") if c in drafts.columns]
+    return out.select(result_id(F.col("fingerprint")).alias("id"), "fingerprint", F.lit(distiller).alias("distiller_id"), F.lit(version).alias("distiller_version"), "session_id", "type", "title", "summary", "confidence", "tags", "payload", proof.alias("evidence"), *keep)
+
+
+def issue_drafts(replies: DataFrame, messages: DataFrame) -> DataFrame:
+    """Of each session the best issue, as a draft."""
+    found = valid_issues(candidates(replies, ISSUE))
+    best = best_issue(found.join(evidence(found, messages), ["session_id", "ord"]))
+    return best.select("*", F.lit("issue-draft").alias("type"), F.coalesce("confidence", F.lit(0.7)).alias("sure"), issue_tags(F.col("issue_kind"), F.col("labels")).alias("tags"), issue_markdown().alias("markdown")).drop("confidence").withColumnRenamed("sure", "confidence")
+
+
+def pitfall_drafts(replies: DataFrame, messages: DataFrame) -> DataFrame:
+    """All pitfall cards, as drafts."""
+    rows = candidates(replies, PITFALL)
+    cards = with_fallback(pitfalls(rows), evidence(rows, messages), messages)
+    return cards.withColumns({"type": F.lit("pitfall-card"), "summary": F.col("summary_line")}).drop("summary_line")
+
+
+#: Built-in distillers: their drafts, and the columns of their payloads in order.
+BUILT_IN = {
+    "issue-draft": (issue_drafts, ["title", "summary", "background", "problem", "proposed_solution", "acceptance_criteria", "issue_kind", "labels"]),
+    "pitfall-card": (pitfall_drafts, ["problem", "root_cause", "solution", "prevention", "category", "language"]),
+}
+
+
+def distilled(replies: DataFrame, messages: DataFrame, distiller: str, version: str = "0.1.0", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, errors, report) of one distiller's replies (session_id, reply, error): drafts, their check, fingerprints, the new ones.
+
+    The report is one row: sessions processed, results produced and skipped as known or repeated, errors.
+    """
+    draft, payload_cols = BUILT_IN[distiller]
+    good, bad = checked(draft(replies, messages))
+    all_results = finished(good, distiller, version, payload_cols)
+    results = first_of_fingerprint(all_results, known, "session_id").dropDuplicates(["fingerprint"])
+    if "error" in replies.columns:
+        bad = bad.unionByName(replies.filter(F.col("error").isNotNull()).select("session_id", F.col("error").alias("message")))
+    n = replies.agg(F.count_distinct("session_id").alias("artifacts_processed"))
+    made = results.agg(F.count("*").alias("results_produced"))
+    whole = all_results.agg(F.count("*").alias("drafts"))
+    wrong = bad.agg(F.count("*").alias("errors"))
+    # four single rows side by side
+    report = n.join(made, F.lit(True)).join(whole, F.lit(True)).join(wrong, F.lit(True))
+    return results, bad, report.select(F.lit(distiller).alias("distiller_id"), "artifacts_processed", "results_produced", (F.col("drafts") - F.col("results_produced")).alias("results_skipped"), "errors")

@@ -36,7 +36,7 @@ def frequency(captures: DataFrame, by: str, seconds: int = 300) -> DataFrame:
 def released(captures: DataFrame, by: str, seconds: int = 300, threshold: int = 3) -> DataFrame:
     """The keyed rule as a fold over each key's sorted arrivals: pending ones are let go together when there are enough.
 
-    Gives (key, released_at, size). The fold holds one key's arrivals; the streaming form holds a window of them.
+    Gives (key, released_at, size). The fold holds a run of one key's arrivals, cut where the key is quiet for the window.
     """
     start = F.struct(F.array().cast("array<bigint>").alias("pending"), F.array().cast("array<struct<at:bigint,n:int>>").alias("out"))
 
@@ -45,9 +45,14 @@ def released(captures: DataFrame, by: str, seconds: int = 300, threshold: int =
         full = F.size(kept) >= threshold
         return F.struct(F.when(full, F.array().cast("array<bigint>")).otherwise(kept).alias("pending"), F.when(full, F.concat(s["out"], F.array(F.struct(t.alias("at"), F.size(kept).alias("n"))))).otherwise(s["out"]).alias("out"))
 
-    times = captures.groupBy(by).agg(F.sort_array(F.collect_list(F.unix_micros("captured_at"))).alias("t"))
+    # nothing pending outlives a quiet time as long as the window, so a key's arrivals fall into runs
+    at = F.unix_micros("captured_at")
+    w = Window.partitionBy(by).orderBy("at")
+    runs = captures.select(by, at.alias("at")).withColumn("fresh", F.when(F.col("at") - F.lag("at").over(w) <= seconds * 1_000_000, 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    times = runs.groupBy(by, "run").agg(F.sort_array(F.collect_list("at")).alias("t")).filter(F.size("t") >= threshold)
     found = times.select(by, F.explode(F.aggregate("t", start, go, lambda s: s["out"])).alias("r"))
-    return found.select(by, F.timestamp_micros("r.at").alias("released_at"), F.col("r.n").alias("size"))
+    return found.select(by, F.timestamp_micros("r.at").alias("released_at"), F.col("r.n").cast("long").alias("size"))
 
 
 def batches(tasks: DataFrame, order: list[str], key: str, size: int = 8, partition: list[str] | None = None) -> DataFrame:
@@ -69,3 +74,11 @@ def newest(events: DataFrame, by: str, keep: int = 50, order: tuple[str, ...] =
     """A bounded buffer: of each owner the newest ``keep`` stay."""
     w = Window.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])
     return events.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep).drop("__n")
+
+
+def degraded(tasks: DataFrame, order: list[str], by: list[str], most: int = 50, mode: str = "full", distill: bool = True) -> DataFrame:
+    """``processing_mode`` of each task: summary-only if so configured, without distillation, or behind ``most`` others of its queue (``by``)."""
+    if mode == "summary-only" or not distill:
+        return tasks.withColumn("processing_mode", F.lit("summary-only"))
+    waiting = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return tasks.withColumn("processing_mode", F.when(waiting > most, "summary-only").otherwise("full"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from parlance.functions import columns as C
 from parlance.functions import patterns as P
+from parlance import plugins
 from parlance.operators import archive, distill, evaluation, gateway, redact, triggers
 from parlance.plans.probes import LINES, PROBE, SPARK_LINES, SPARK_PROBE
 from parlance.session import table
+from parlance.sources import toolhost, transcripts
 from parlance.sources.adapters import MESSAGES, captures, messages, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +250,79 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("repo", "n", C.safe_name(F.col("repo")).alias("folder"), C.file_stamp(F.lit("2026-03-01T00:00:00.000Z")).alias("stamp"))
 
 
+_PARTS = """array(named_struct('type', 'text', 'text', CASE WHEN turn % 3 = 0 THEN NULL ELSE text END, 'name', NULL, 'filename', NULL, 'mime', NULL), named_struct('type', 'tool', 'text', NULL, 'name', CASE WHEN turn % 2 = 0 THEN 'run' END, 'filename', NULL, 'mime', NULL),
+named_struct('type', 'file', 'text', NULL, 'name', NULL, 'filename', 'f', 'mime', CASE WHEN conv_id % 2 = 0 THEN 'text/plain' END), named_struct('type', 'odd', 'text', 'x', 'name', 'x', 'filename', 'x', 'mime', 'x'))"""
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, count(*) AS messages, count(*) FILTER (turn % 3 <> 0 AND text IS NOT NULL) AS texts, count(*) FILTER (turn % 2 = 0) AS tools, count(*) FILTER (conv_id % 2 = 0) AS files FROM m GROUP BY 1")
+def artifact_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions through the artifact store: parts that lack what their type needs are gone."""
+    m = messages(spark, sf_dir).withColumn("parts", F.expr(_PARTS))
+    s = m.groupBy("session_id", "repo", "captured_at").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("message_id").alias("id"), F.col("text").alias("content"), "parts"))).alias("messages"))
+    out = archive.Artifacts(s).query()
+    parts = F.flatten(F.transform("messages", lambda x: x["parts"]))
+    n = lambda kind: F.size(F.filter(parts, lambda p: p["type"] == kind)).cast("long")
+    return out.select("session_id", F.size("messages").cast("long").alias("messages"), n("text").alias("texts"), n("tool").alias("tools"), n("file").alias("files"))
+
+
+@query(S_SQL + f", r AS (SELECT session_id, turn, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), {q(P.INLINE[4][1])})) AS n FROM m WHERE conv_id % 3 <> 0) SELECT session_id, count(*) AS n_messages, CAST(sum(n) > 0 AS INTEGER) AS has_mail FROM r GROUP BY 1")
+def artifact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, anti-join, redaction and projection composed, as a distiller reads the archive."""
+    store = archive.Artifacts(sessions(spark, sf_dir), _processed(spark, sf_dir), archive.sanitize_messages)
+    out = store.get_unprocessed("issue-draft")
+    return out.select("session_id", F.size("messages").cast("long").alias("n_messages"), F.exists("messages", lambda m: F.contains(F.coalesce(m["content"], F.lit("")), F.lit("[EMAIL]"))).cast("int").alias("has_mail"))
+
+
+@query("WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tool-a' WHEN 1 THEN 'tool-b' ELSE 'nobody' END AS provider, event_id % 5 = 0 AS has FROM events) SELECT CASE WHEN has THEN 'payload' WHEN provider = 'nobody' THEN 'rejected' ELSE 'pull' END AS way, count(*) AS n FROM e GROUP BY 1")
+def capture_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = captures(spark, sf_dir).withColumns({"provider": F.expr("CASE event_id % 4 WHEN 0 THEN 'tool-a' WHEN 1 THEN 'tool-b' ELSE 'nobody' END"), "pulled": F.expr("CASE WHEN event_id % 5 = 0 THEN '{}' END")})
+    known = spark.createDataFrame([("tool-a",), ("tool-b",)], "provider string")
+    ways = archive.routed(c, known)
+    out = None
+    for way, rows in zip(("payload", "pull", "rejected"), ways, strict=True):
+        one = rows.select(F.lit(way).alias("way"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("way").agg(F.count("*").alias("n"))
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MESSAGES}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m WHERE role = 'user' OR (text IS NOT NULL AND trim(text) <> '')) SELECT session_id, count(*) AS messages, arg_min(CASE WHEN turn % 2 = 0 THEN message_id ELSE session_id || '-' || n END, turn) AS first_id, arg_max(CASE WHEN turn % 2 = 0 THEN message_id ELSE session_id || '-' || n END, turn) AS last_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5, 'repo-' || (any_value(conv_id) % 4) AS repo, CASE WHEN max(turn) >= 1 THEN 'b' || any_value(conv_id) % 3 END AS branch, min(captured_at + turn * INTERVAL 1 SECOND) AS started, max(captured_at + turn * INTERVAL 1 SECOND) AS ended FROM k GROUP BY conv_id, session_id")
+def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript rows, made of the conversations, folded to one payload for each session."""
+    m = messages(spark, sf_dir).filter("text IS NOT NULL")
+    none = F.lit(None).cast("string")
+    branch = F.when(F.col("turn") == 0, "HEAD").otherwise(F.concat(F.lit("b"), F.col("conv_id") % 3))
+    items = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    is_reply = F.col("role") == "assistant"
+    found = m.select(
+        F.col("session_id").alias("file"), F.col("captured_at").alias("mtime"), F.col("turn").alias("ord"), F.when(is_reply, "ARRAY<OBJECT>").otherwise("STRING").alias("kind"), F.col("role").alias("type"),
+        F.when(F.col("turn") % 2 == 0, F.col("message_id")).alias("uuid"), F.date_format(F.expr("captured_at + turn * INTERVAL '1' SECOND"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.concat(F.lit("/home/me/repo-"), F.col("conv_id") % 4).alias("cwd"), F.col("session_id").alias("sessionId"), branch.alias("gitBranch"), none.alias("toolUseID"), none.alias("parentToolUseID"),
+        F.struct("role", F.when(is_reply, items).otherwise(F.col("text")).alias("content")).alias("message"), F.struct(none.alias("type"), none.alias("output"), none.alias("fullOutput")).alias("data"), F.struct(none.alias("stdout"), none.alias("stderr")).alias("toolUseResult"),
+    )
+    out = transcripts.payloads(found)
+    text = F.array_join(F.transform("messages", lambda x: x["content"]), "\n")
+    return out.select("session.session_id", F.size("messages").cast("long").alias("messages"), F.get("messages", F.lit(0))["id"].alias("first_id"), F.element_at("messages", -1)["id"].alias("last_id"), F.md5(text.cast("binary")).alias("text_md5"), "context.repo", "context.branch", F.col("time_range.start").alias("started"), F.col("time_range.end").alias("ended"))
+
+
+@query(f"WITH {MESSAGES}, k AS (SELECT * FROM m WHERE text IS NOT NULL) SELECT session_id, count(*) AS messages, md5(string_agg(text || CASE WHEN turn % 2 = 0 THEN chr(10) || 'r' ELSE '' END, '|' ORDER BY turn)) AS text_md5, count(*) FILTER (turn % 3 = 0) AS tools, string_agg(CASE WHEN turn % 3 = 0 THEN CASE WHEN turn % 2 = 0 THEN 'c' || turn ELSE message_id || '-tool' END END, ',' ORDER BY turn) AS calls FROM k GROUP BY 1")
+def toolhost_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of a tool host, made of the conversations, mapped to payloads."""
+    m = messages(spark, sf_dir).filter("text IS NOT NULL")
+    none = F.lit(None).cast("string")
+    state = F.struct(F.lit("{}").alias("input"), F.lit("o").alias("output"), none.alias("error"))
+    part = lambda kind, text, tool=none, call=none: F.struct(F.lit(kind).alias("type"), text.alias("text"), none.alias("mime"), none.alias("filename"), tool.alias("tool"), call.alias("callID"), state.alias("state"))
+    absent = F.array().cast("array<struct<type:string,text:string,mime:string,filename:string,tool:string,callID:string,state:struct<input:string,output:string,error:string>>>")
+    parts = F.concat(F.array(part("text", F.col("text"))), F.when(F.col("turn") % 2 == 0, F.array(part("reasoning", F.lit("r")))).otherwise(absent), F.when(F.col("turn") % 3 == 0, F.array(part("tool", none, none, F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn")))))).otherwise(absent))
+    info = F.struct(F.col("message_id").alias("id"), "role", F.struct(F.lit(0.0).alias("created")).alias("time"))
+    rows = m.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", info.alias("info"), parts.alias("parts")))), lambda x: F.struct(x["info"].alias("info"), x["parts"].alias("parts"))).alias("messages"))
+    answers = rows.select(F.struct(F.col("session_id").alias("id"), none.alias("directory"), F.struct(F.lit(0.0).alias("created"), F.lit(0.0).alias("updated")).alias("time")).alias("session"), "messages", F.struct(F.lit("/w/r").alias("directory"), none.alias("worktree")).alias("path"), F.struct(none.alias("branch")).alias("vcs"))
+    out = toolhost.payloads(answers, F.lit("2026-01-01").cast("timestamp"))
+    return out.select("session_id", F.size("messages").cast("long").alias("messages"), F.md5(F.array_join(F.transform("messages", lambda x: x["content"]), "|").cast("binary")).alias("text_md5"), F.size("tools").cast("long").alias("tools"), F.when(F.size("tools") > 0, F.array_join(F.transform("tools", lambda t: t["id"]), ",")).alias("calls"))
+
+
 # --- triggers --------------------------------------------------------------------------------------------------------
 
 #: Words of the test corpus for the keyword rules; the default words don't occur in it.
@@ -298,7 +373,11 @@ def trigger_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.frequency(captures(spark, sf_dir), "session_id", 6 * 3600).select("event_id", "arrivals")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS pending, CAST(NULL AS BIGINT) AS let_go, CAST(0 AS BIGINT) AS size FROM e
+UNION ALL SELECT x.session_id, x.n, CASE WHEN len(x.k) >= 3 THEN CAST([] AS BIGINT[]) ELSE x.k END, CASE WHEN len(x.k) >= 3 THEN x.t END, CAST(len(x.k) AS BIGINT)
+FROM (SELECT e.session_id, e.n, e.t, list_append(list_filter(r.pending, lambda p: p >= e.t - 21600000000), e.t) AS k FROM r JOIN e ON e.session_id = r.session_id AND e.n = r.n + 1) x)
+SELECT session_id, make_timestamp(let_go) AS released_at, size FROM r WHERE let_go IS NOT NULL""")
 def trigger_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.released(captures(spark, sf_dir), "session_id", 6 * 3600)
 
@@ -307,11 +386,8 @@ _TASKS = "t AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, event_t
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     c = captures(spark, sf_dir).withColumns({"day": F.to_date("captured_at"), "batch_key": F.col("trigger"), "trigger_score": (F.col("event_id") % 5).cast("int")})
-    waiting = F.row_number().over(Window.partitionBy("day").orderBy("captured_at", "event_id"))
-    return c.withColumn("processing_mode", F.when(waiting > 50, "summary-only").otherwise("full"))
+    return triggers.degraded(c, ["captured_at", "event_id"], ["day"])
 
 
 @query(f"WITH {_TASKS}, c AS (SELECT *, (row_number() OVER (PARTITION BY day ORDER BY ts, event_id) - 1) // 8 AS chunk FROM t) SELECT day, chunk, batch_key, array_to_string(list_sort(list(DISTINCT session_id)), ',') AS sessions, max(trigger_score) AS trigger_score, count(*) AS size, CASE WHEN bool_or(processing_mode = 'summary-only') THEN 'summary-only' ELSE 'full' END AS processing_mode FROM c GROUP BY ALL")
@@ -383,6 +459,17 @@ def evidence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir).select("session_id", "ord", F.array_join(F.transform("evidence", lambda e: F.concat(e["message_id"], F.lit(":"), e["excerpt"])), ",").alias("evidence"))
 
 
+_REFS = " UNION ALL ".join(f"SELECT session_id, {k} AS ord, unnest(json_extract_string({_PAYLOAD}, '$[{k}].evidence_refs[*].message_id')) AS message_id FROM replies WHERE conv_id % 4 <> 3 AND conv_id % 7 <> 3" for k in (0, 1))
+
+
+@query(f"WITH {MESSAGES}, {_REPLIES}, r AS ({_REFS}), k AS (SELECT DISTINCT session_id, message_id, true AS known FROM m) SELECT session_id, ord, count(*) AS refs, count(DISTINCT message_id) FILTER (known) AS kept FROM r LEFT JOIN k USING (session_id, message_id) GROUP BY ALL")
+def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distill.valid_issues(distill.candidates(replies(spark, sf_dir), distill.ISSUE))
+    held = distill.evidence(found, messages(spark, sf_dir)).select("session_id", "ord", F.size("evidence").cast("long").alias("n"))
+    both = found.join(held, ["session_id", "ord"], "left")
+    return both.select("session_id", "ord", F.size("evidence_refs").cast("long").alias("refs"), F.coalesce("n", F.lit(0)).alias("kept"))
+
+
 @query(_VALID + " SELECT session_id, CAST(ord AS INTEGER) AS ord, coalesce(confidence, 0.7) AS confidence FROM best")
 def issue_best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distill.best_issue(_issues(spark, sf_dir)).select("session_id", "ord", F.coalesce("confidence", F.lit(0.7)).alias("confidence"))
@@ -408,25 +495,44 @@ def pitfall_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.select("session_id", "title", F.col("summary_line").alias("summary"), "confidence", F.array_join("tags", ",").alias("tags"))
 
 
-@query("WITH f AS (SELECT doc_id, sha256('issue-draft:' || source || ':' || '{\"t\":\"' || md5(text) || '\"}') AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS results FROM f GROUP BY 1")
-def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", distill.fingerprint("issue-draft", F.col("source"), F.to_json(F.struct(F.md5(F.col("text").cast("binary")).alias("t")))).alias("fingerprint"))
-    n = rows.groupBy("fingerprint").agg(F.count("*").alias("results"))
-    return distill.first_of_fingerprint(rows, None, "doc_id").join(n, "fingerprint").select("fingerprint", "doc_id", "results")
+@query(f"WITH {MESSAGES}, b AS (SELECT DISTINCT conv_id, session_id FROM m WHERE conv_id % 5 <> 0) SELECT b.session_id, arg_min(m.message_id, turn) || '|' || md5(arg_min(coalesce(text, ''), turn)) AS evidence, 'parlance trace --session ' || b.session_id || ' --message ' || arg_min(m.message_id, turn) AS trace FROM b JOIN m ON m.session_id = b.session_id GROUP BY b.session_id")
+def pitfall_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembled pitfall extractor: cards without references fall back on the first message."""
+    m = messages(spark, sf_dir)
+    said = m.select("conv_id", "session_id").distinct().select("session_id", F.expr(_PIT).alias("reply"))
+    results, _, _ = distill.distilled(said, m, "pitfall-card")
+    e = F.get("evidence", F.lit(0))
+    return results.select("session_id", F.concat(e["message_id"], F.lit("|"), F.md5(F.coalesce(e["excerpt"], F.lit("")).cast("binary"))).alias("evidence"), e["trace_command"].alias("trace"))
 
 
-@query("SELECT source, count(DISTINCT text) AS processed, count(*) FILTER (n_chars > 50) AS produced, count(*) FILTER (n_chars <= 50) AS skipped FROM documents GROUP BY 1")
+@query(f"WITH {MESSAGES}, {_REPLIES}, v AS (SELECT session_id, conv_id, conv_id % 4 <> 3 AND conv_id % 7 <> 3 AND EXISTS (SELECT 1 FROM m WHERE m.session_id = r.session_id AND m.message_id IN (conv_id || '-0', conv_id || '-1')) AS good FROM replies r) SELECT 'issue-draft' AS distiller_id, count(*) AS artifacts_processed, count(*) FILTER (good AND conv_id % 2 = 0) AS results_produced, count(*) FILTER (good AND conv_id % 2 = 1) AS results_skipped, CAST(0 AS BIGINT) AS errors FROM v")
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run of the issue extractor in which the results of odd conversations are known already."""
+    m = messages(spark, sf_dir)
+    r = replies(spark, sf_dir)
+    before, _, _ = distill.distilled(r, m, "issue-draft")
+    odd = m.filter("conv_id % 2 = 1").select("session_id").distinct()
+    _, _, report = distill.distilled(r, m, "issue-draft", known=before.join(odd, "session_id", "left_semi"))
+    return report
+
+
+@query("WITH f AS (SELECT doc_id, sha256('issue-draft:' || source || ':' || '{\"t\":\"' || md5(text) || '\"}') AS fingerprint FROM documents), k AS (SELECT DISTINCT fingerprint FROM f WHERE doc_id % 10 = 0) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS results FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM k) GROUP BY 1")
+def fingerprint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are new: an earlier run had those of every tenth document."""
     d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count_distinct("text").alias("processed"), F.count_if(F.col("n_chars") > 50).alias("produced"), F.count_if(F.col("n_chars") <= 50).alias("skipped"))
+    rows = d.select("doc_id", distill.fingerprint("issue-draft", F.col("source"), F.to_json(F.struct(F.md5(F.col("text").cast("binary")).alias("t")))).alias("fingerprint"))
+    known = rows.filter("doc_id % 10 = 0").select("fingerprint").distinct()
+    n = rows.groupBy("fingerprint").agg(F.count("*").alias("results"))
+    return distill.first_of_fingerprint(rows, known, "doc_id").join(n, "fingerprint").select("fingerprint", "doc_id", "results")
 
 
-@query("WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'issue-draft' ELSE 'pitfall-card' END AS type FROM documents), s AS (SELECT * FROM (VALUES ('file', 'issue-draft'), ('file', 'pitfall-card'), ('board', 'issue-draft')) v(sink, type)) SELECT sink, type, count(*) AS delivered FROM r JOIN s USING (type) GROUP BY ALL")
+@query("WITH r AS (SELECT CASE WHEN lang = 'en' THEN 'issue-draft' ELSE 'pitfall-card' END AS type FROM documents), s AS (SELECT * FROM (VALUES ('file', 'issue-draft'), ('file', 'pitfall-card'), ('board', 'issue-draft'), ('mail', 'nothing')) v(sink, type)) SELECT s.sink, count(r.type) AS delivered, CAST(0 AS BIGINT) AS failed FROM s LEFT JOIN r USING (type) GROUP BY 1")
 def sink_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sink was given, by the sink runner itself."""
     r = table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "issue-draft").otherwise("pitfall-card").alias("type"))
-    s = spark.createDataFrame([("file", "issue-draft"), ("file", "pitfall-card"), ("board", "issue-draft")], "sink string, type string")
-    return r.groupBy("type").agg(F.count("*").alias("delivered")).join(s, "type").select("sink", "type", "delivered")
+    sinks = [plugins.Sink(name, types, lambda df: df.count()) for name, types in (("file", ("issue-draft", "pitfall-card")), ("board", ("issue-draft",)), ("mail", ("nothing",)))]
+    report = plugins.run_sinks(r, sinks)
+    return spark.createDataFrame([(x["sink"], x["delivered"], x["failed"]) for x in report], "sink string, delivered long, failed long")
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------------
@@ -487,18 +593,74 @@ def eval_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^a-z0-9]+'), lambda x: x <> ''))"
 
 
-@query("WITH b AS (SELECT item_id, substring(text, 1, 80) AS t, substring(text, 1 + CAST(item_id % 40 AS INT), 80) AS u FROM benchmark), w AS (SELECT item_id, " + _WORDS.format(t="t") + " AS a, " + _WORDS.format(t="u") + " AS b FROM b), j AS (SELECT item_id, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END AS j FROM w) SELECT item_id, round(j, 6) AS jaccard, CASE WHEN j >= 0.6 THEN 1 ELSE 0 END AS title_hit FROM j")
+_J = "CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+
+@query("WITH b AS (SELECT item_id, text AS t, reverse(substring(reverse(text), 1 + CAST(item_id % 40 AS INT))) || ' of the end' AS u FROM benchmark), w AS (SELECT item_id, " + _WORDS.format(t="t") + " AS a, " + _WORDS.format(t="u") + " AS b FROM b), j AS (SELECT item_id, " + _J.format(a="a", b="b") + " AS j FROM w) SELECT item_id, round(j, 6) AS jaccard, CASE WHEN j >= 0.6 THEN 1 ELSE 0 END AS title_hit FROM j")
 def title_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("t"), F.expr("substring(text, 1 + CAST(item_id % 40 AS INT), 80)").alias("u"))
+    """Whole texts against themselves without an end of some length."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"), F.expr("reverse(substring(reverse(text), 1 + CAST(item_id % 40 AS INT))) || ' of the end'").alias("u"))
     j = C.jaccard(C.words(F.col("t")), C.words(F.col("u")))
     return b.select("item_id", F.round(j, 6).alias("jaccard"), evaluation.title_hit(F.col("t"), F.col("u"), F.lit(True), F.lit(True)).alias("title_hit"))
 
 
-@query("SELECT label.doc_id AS id, CASE WHEN (quality = 1) = (length(text) > 400) THEN 1 ELSE 0 END AS should_issue_accuracy, round(abs(least(1.0, length(text) / 2000.0) - 0.5), 6) AS actionability_gap FROM labels label JOIN documents USING (doc_id)")
+#: Samples and predictions of issues, knowledge and actions, in SQL that both engines read; no prediction for every seventh.
+_SAMPLES = """SELECT doc_id AS id, doc_id % 7 = 0 AS gone, quality = 1 AS should_e, 'Fix ' || source || ' in ' || lang AS title_e, CASE WHEN toxic = 1 THEN 'bug' ELSE 'docs' END AS type_e, CAST(0.5 AS DOUBLE) AS acts_e,
+length(text) > 400 AS should_p, CASE doc_id % 3 WHEN 0 THEN ' fix ' || source || ' in ' || lang || ' now' WHEN 1 THEN NULL ELSE 'another title' END AS title_p, CASE doc_id % 2 WHEN 0 THEN 'bug' ELSE 'docs' END AS type_p, CAST(length(text) AS DOUBLE) / 2000.0 AS acts_p,
+CASE doc_id % 2 WHEN 0 THEN source END AS key_p, upper(lang) AS label_p, source, lang FROM labels JOIN documents USING (doc_id)"""
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, the sample as ``e`` and its prediction as ``p``, null if there is none; of several for one id the last counts."""
+    table(spark, sf_dir, "labels").createOrReplaceTempView("labels")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    rows = spark.sql(_SAMPLES)
+    pick = lambda end: F.struct(F.col(f"should_{end}").alias("should_issue"), F.col(f"title_{end}").alias("title"), F.col(f"type_{end}").alias("type"), F.col(f"acts_{end}").alias("actionability"))
+    samples = rows.select("id", pick("e").alias("e"), "source", "lang")
+    said = rows.filter("NOT gone").select("id", F.lit(1).alias("ord"), pick("p").alias("p"), "key_p", "label_p")
+    old = rows.filter("NOT gone").select("id", F.lit(0).alias("ord"), pick("e").alias("p"), F.lit("old").alias("key_p"), "label_p")
+    return evaluation.paired(samples, old.unionByName(said))
+
+
+_SAID = f"s AS ({_SAMPLES}), t AS (SELECT * REPLACE (NOT gone AND should_p AS should_p, CASE WHEN gone THEN NULL ELSE type_p END AS type_p, CASE WHEN gone THEN 0.0 ELSE acts_p END AS acts_p, CASE WHEN gone OR title_p IS NULL THEN '' ELSE lower(trim(title_p)) END AS title_p, lower(trim(title_e)) AS title_e) FROM s)"
+_TITLE = _J.format(a=_WORDS.format(t="title_e"), b=_WORDS.format(t="title_p"))
+
+
+@query(f"WITH {_SAID} SELECT id, CASE WHEN should_e = should_p THEN 1 ELSE 0 END AS should_issue_accuracy, CASE WHEN NOT should_e AND NOT should_p THEN 1 WHEN title_p <> '' AND {_TITLE} >= 0.6 THEN 1 ELSE 0 END AS title_hit_rate, CASE WHEN (NOT should_e AND NOT should_p) OR type_e IS NOT DISTINCT FROM type_p THEN 1 ELSE 0 END AS type_accuracy, round(abs(least(1.0, acts_p) - acts_e), 6) AS actionability_gap, round(least(1.0, acts_p), 6) AS average_actionability FROM t")
 def eval_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _pairs(spark, sf_dir)
-    gap = F.abs(C.clamp01(F.char_length("text") / 2000.0) - 0.5)
-    return d.select("id", F.when((F.col("quality") == 1) == (F.char_length("text") > 400), 1).otherwise(0).alias("should_issue_accuracy"), F.round(gap, 6).alias("actionability_gap"))
+    s = evaluation.issue_scores(F.col("e"), F.col("p"))
+    return _samples(spark, sf_dir).select("id", *[(F.round(c, 6) if n.endswith(("gap", "actionability")) else c).alias(n) for n, c in s.items()])
+
+
+@query(f"WITH {_SAID} SELECT id, CASE WHEN should_e = should_p THEN 1 ELSE 0 END AS should_distill_accuracy, CASE WHEN (should_e AND type_e IS NOT DISTINCT FROM type_p) OR (NOT should_e AND NOT should_p) THEN 1 ELSE 0 END AS type_accuracy FROM t")
+def eval_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    as_kept = lambda c: F.struct(F.col(f"{c}.should_issue").alias("should_distill"), F.col(f"{c}.type").alias("kind"))
+    return _samples(spark, sf_dir).select("id", *[c.alias(n) for n, c in evaluation.knowledge_scores(as_kept("e"), as_kept("p")).items()])
+
+
+@query(f"WITH s AS ({_SAMPLES}), n AS (SELECT id, list_distinct([lower(source), lower(lang)]) AS e, CASE WHEN gone THEN [] ELSE [lower(coalesce(key_p, label_p))] END AS y FROM s) SELECT id, {_SCORES} FROM n")
+def eval_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("p").isNotNull(), F.array(F.coalesce("key_p", "label_p")))
+    return _samples(spark, sf_dir).select("id", *[F.round(c, 6).alias(n) for n, c in evaluation.set_scores(F.array("source", "lang"), said).items()])
+
+
+def _random_sql(n: int) -> str:
+    """CTEs x0 (the seed's hash, as 32 bits without sign) to x<n> with columns u1 to u<n>."""
+    low = "4294967295"
+    out = [f"x0 AS (SELECT id, CASE WHEN h = 0 THEN 42 ELSE h END AS u0 FROM (SELECT doc_id AS id, list_reduce(list_transform(string_split('v1:' || doc_id, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (h * 31 + c) & {low}, CAST(0 AS BIGINT)) AS h FROM labels))"]
+    for i in range(1, n + 1):
+        signed = "CASE WHEN b >= 2147483648 THEN b - 4294967296 ELSE b END"
+        out.append(f"a{i} AS (SELECT *, xor(u{i - 1}, (u{i - 1} << 13) & {low}) AS b FROM x{i - 1}), c{i} AS (SELECT * EXCLUDE (b), xor(b, CAST(floor(({signed}) / 128.0) AS BIGINT) & {low}) AS d FROM a{i}), x{i} AS (SELECT * EXCLUDE (d), xor(d, (d << 17) & {low}) AS u{i} FROM c{i})")
+    return "WITH " + ", ".join(out)
+
+
+@query(_random_sql(5) + " SELECT id, u1 / 4294967295.0 > 0.12 AS keep_signal, u2 / 4294967295.0 > 0.18 AS keep_action, u3 / 4294967295.0 < 0.1 AS noise, u4 / 4294967295.0 < 0.08 AS flip, round(u5 / 4294967295.0, 6) AS fifth FROM x5")
+def eval_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded numbers behind the noisy baseline, and what they decide."""
+    n = evaluation.NOISE
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), evaluation.randoms(F.concat(F.lit("v1:"), F.col("doc_id")), 5).alias("r"))
+    r = lambda k: F.get("r", F.lit(k))
+    return rows.select("id", (r(0) > n["drop_signal"]).alias("keep_signal"), (r(1) > n["drop_action"]).alias("keep_action"), (r(2) < n["noise_signal"]).alias("noise"), (r(3) < n["flip_issue"]).alias("flip"), F.round(r(4), 6).alias("fifth"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}') || regexp_extract_all(t, '(?i)sk[-_][a-z0-9-]+') || regexp_extract_all(t, '(?i)\\b(?:user|order|session)[-_]?\\d{3,}\\b'))), ',') AS tokens FROM (SELECT doc_id, " + PROBE + " || ' user-' || (1000 + doc_id) AS t FROM documents)")

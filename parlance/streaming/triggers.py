@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,18 +41,34 @@ def frequency_releases(captures: DataFrame, by: str, seconds: int = WINDOW_S, th
     return times.groupBy("key").applyInPandasWithState(step, "key string, released_at timestamp, size long", "pending array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def micro_batches(tasks: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, size: int = 8, wait: str = "1500 milliseconds", available_now: bool = False):
-    """Hand each micro-batch of tasks, in chunks of ``size`` grouped by ``batch_key``, to ``run``. A failing batch is reported and doesn't end the stream."""
+def micro_batches(tasks: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, size: int = 8, wait: str = "1500 milliseconds", available_now: bool = False, dead_letters: str | None = None):
+    """Hand each micro-batch of tasks, in chunks of ``size`` grouped by ``batch_key``, to ``run``.
+
+    A failing batch doesn't end the stream: its tasks, the batch's number and the error go to the table ``dead_letters`` (by default
+    beside the checkpoint), from which they can be run again.
+    """
+    letters = dead_letters or f"{checkpoint}-dead-letters"
+
     def each(rows: DataFrame, epoch: int) -> None:
         try:
             run(batches(rows, ["captured_at", "event_id"], "batch_key", size), epoch)
-        except Exception as e:  # the stream goes on; the batch's rows are in the source still
-            print(f"batch {epoch} failed: {e}")
+        except Exception as e:
+            rows.withColumns({"batch": F.lit(epoch), "error": F.lit(f"{type(e).__name__}: {e}"[:500])}).write.mode("append").parquet(letters)
 
     writer = tasks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=wait)).start()
 
 
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Capture requests as a stream of JSON files that a gateway lands in a folder (the push end point's place)."""
+    return spark.readStream.schema("session_id string, trigger string, captured_at timestamp, provider string, pulled string").json(folder)
+
+
+def plugin_events(events: DataFrame) -> DataFrame:
+    """Of a tool's events those that say a session is idle."""
+    return events.filter(F.col("event_type") == "session.idle")
+
+
 def idle(captures: DataFrame, by: str, gap: str = "30 seconds") -> DataFrame:
     """Sessions that a quiet time has ended, as the watermark passes it."""
     return captures.withWatermark("captured_at", gap).groupBy(F.session_window("captured_at", gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("started"), F.col("w.end").alias("idle_at"), "n")

@@ -57,7 +57,7 @@ def test_transcript(spark, tmp_path):
     (tmp_path / "s1.jsonl").write_text("\n".join(rows))
     found = transcripts.rows(spark, str(tmp_path / "s1.jsonl"))
     m = transcripts.messages(found).orderBy("ord").collect()
-    assert [(x.id, x.role, x.content) for x in m] == [("u1", "user", "hi"), ("s1-2", "assistant", "yes"), ("u3", "assistant", "")]
+    assert [(x.id, x.role, x.content) for x in m] == [("u1", "user", "hi"), ("s1-2", "assistant", "yes"), ("u3", "assistant", None)]
     t = transcripts.tool_calls(found).collect()
     assert [(x.id, x.name, x.output, x.error) for x in t] == [("t1", "sh", "/w/demo", None)]
 

@@ -1,10 +1,12 @@
 """Toxicity: a noisy-channel decoder restores disguised words, then the restored text is scored.
 
-A character trigram model is counted over all documents. A chunk of text that looks disguised (digits or signs between
-letters, letters drawn out, letters set apart) becomes a lattice: each sign may stand for itself, for a letter it resembles, or
-for nothing, and a repeated letter may be one. Viterbi search finds the readings that the channel and the model make likeliest.
-Words and their beginnings are weighed by the labelled rows in which they occur; a logistic function of a document's
-weightiest words is its score.
+A character trigram model is counted over all documents. A chunk of text that may be disguised (a digit or sign beside a letter,
+a letter twice in a row, letters set apart by blanks) becomes a lattice: each sign may stand for itself, for a letter it
+resembles, for nothing, or for the end of a word, and a repeated letter may be one. An exact Viterbi search over the whole chunk
+(a state is the last two letters and the last sign) finds the readings that the channel and the model make likeliest: the best
+path of each last state, if it is not MARGIN less likely than the best of all. Readings are split into words. Words and their
+beginnings are weighed by the labelled rows in which they occur; a logistic function of a document's weightiest words is its
+score.
 
 Chunks that come again are not decoded again. What is learnt from labels comes from at most ``SAMPLE`` rows of each label,
 those of the least hash, and the words found in them; the character model comes from every document.
@@ -20,7 +22,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ THRESHOLD = 0.3
 SAMPLE = 6_000
 #: Words kept in a worker's cache; a full cache starts again.
 CACHE = 300_000
-#: Weighed words that travel to the workers, the weightiest first: every one of them needs several labelled rows.
-LEXICON = 50_000
 #: Letters of the character model, by code point: a-z and the letters of the Latin-1 and Latin Extended-A blocks.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c == c.lower())
 #: The letters that a sign may stand for.
@@ -44,12 +43,12 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 APART = set(".-_*~'`^,:;#%&/\\=\" ")
 #: Costs in natural logarithms: a sign read as a letter, left out, kept; a repeated letter left out, kept.
 AS_LETTER, LEFT_OUT, KEPT, REPEAT_OUT, REPEAT_IN = -0.5, -0.7, -14.0, -0.5, -1.0
-BEAM, READINGS = 48, 6
-#: Longer chunks are decoded in windows of this many signs, each half over the one before.
-WINDOW = 64
+#: Natural logarithms by which a reading may be less likely than the best one.
+MARGIN = 6.0
 
 SIGNS = re.escape("".join(LOOKS)) + re.escape("".join(sorted(APART - {" "})))
-DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|(.)\1\1|^[{re.escape(''.join(LOOKS))}][^\W\d_]|[^\W\d_][{re.escape('0123456789@$!|+')}]$").search
+DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|([^\W\d_])\1").search
+REPEATED = re.compile(r"(.)\1+").sub
 SPACED = re.compile(r"(?<![^\s])(?:[^\s\w]?\w[^\s\w]? ){2,}[^\s\w]?\w[^\s\w]?(?![^\s])").finditer
 EDGES = "".join(sorted(APART)) + "!?.,;:()[]{}<>|+$@\"'«»"
 
@@ -63,42 +62,50 @@ class Characters:
         self.logp = np.log(c / c.sum(2, keepdims=True)).tolist()
         self.index = {c: i + 1 for i, c in enumerate(LETTERS)}
 
-    def readings(self, chunk: str, most: int = READINGS) -> list[str]:
-        """The likeliest letters behind a chunk. A state is the last two letters and the last sign seen; each keeps its best few."""
+    def readings(self, chunk: str, margin: float = MARGIN) -> list[str]:
+        """The likeliest letters behind a chunk, words parted by blanks. Each state keeps its best path, as a chain of letters."""
         logp, index = self.logp, self.index
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for ch in chunk:
-            nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
+            nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
 
-            def put(key: tuple, score: float, text: str, nxt: dict = nxt) -> None:
+            def put(key: tuple, score: float, path: tuple | None, nxt: dict = nxt) -> None:
                 if key not in nxt or nxt[key][0] < score:
-                    nxt[key] = (score, text)
+                    nxt[key] = (score, path)
 
             low = ch if ch in index else ch.lower()
-            for (a, b, seen), (score, text) in states.items():
+            for (a, b, seen), (score, path) in states.items():
+                last = path[1] if path else ""
                 if low in index:
                     i = index[low]
-                    again = text[-1:] == low
-                    put((b, i, low), score + logp[a][b][i] + (REPEAT_IN if again else 0.0), text + low)
+                    again = last == low
+                    put((b, i, low), score + logp[a][b][i] + (REPEAT_IN if again else 0.0), (path, low))
                     if again:
-                        put((a, b, seen), score + REPEAT_OUT, text)
-                else:
-                    for c in LOOKS.get(ch, ""):
-                        if text[-1:] == c and seen == ch:
-                            put((a, b, seen), score + REPEAT_OUT, text)
-                        put((b, index[c], ch), score + logp[a][b][index[c]] + AS_LETTER, text + c)
-                    if ch in APART or ch in "!|+":
-                        put((a, b, seen), score + LEFT_OUT, text)
-                    elif ch not in LOOKS or ch.isdigit():
-                        put((a, b, seen), score + KEPT, text)
-            states = dict(nlargest(BEAM, nxt.items(), key=lambda x: x[1][0])) if len(nxt) > BEAM else nxt
+                        put((a, b, seen), score + REPEAT_OUT, path)
+                    continue
+                for c in LOOKS.get(ch, ""):
+                    if last == c and seen == ch:
+                        put((a, b, seen), score + REPEAT_OUT, path)
+                    put((b, index[c], ch), score + logp[a][b][index[c]] + AS_LETTER, (path, c))
+                if ch in APART or ch in "!|+":
+                    put((a, b, seen), score + LEFT_OUT, path)
+                    if b:  # the end of a word
+                        put((0, 0, ""), score + logp[a][b][0], (path, " "))
+                elif ch not in LOOKS or ch.isdigit():
+                    put((a, b, seen), score + KEPT, path)
+            states = nxt
             if not states:
                 return []
         done: dict[str, float] = {}
-        for (a, b, _), (score, text) in states.items():
-            if text:
-                done[text] = max(done.get(text, -1e9), score + logp[a][b][0])
-        return nlargest(most, done, key=done.get)
+        for (a, b, _), (score, path) in states.items():
+            letters = []
+            while path:
+                path, c = path
+                letters.append(c)
+            if text := "".join(reversed(letters)).strip():
+                done[text] = max(done.get(text, -1e18), score + (logp[a][b][0] if b else 0.0))
+        best = max(done.values(), default=0.0)
+        return [t for t, x in sorted(done.items(), key=lambda x: (-x[1], x[0])) if x >= best - margin]
 
 
 ORDER = np.zeros(0x180, np.int64)
@@ -138,13 +145,13 @@ def restored(chunk: str, lm: Characters) -> list[str]:
         return [plain]
     out = [w for w in re.split(r"[\W\d_]+", plain) if w]
     if any(map(str.isalpha, chunk)) and (core := chunk.strip(".,;:?\"'()*#%&~-_")) and (" " in chunk or DISGUISED(core)):
-        out += [w for i in range(0, max(1, len(core) - WINDOW // 2), WINDOW // 2) for w in lm.readings(core[i : i + WINDOW])]
+        out += [w for r in lm.readings(core) for w in r.split()]
     return out
 
 
 def marks(word: str) -> list[str]:
-    """What is weighed of a word: all of it, and its beginnings of 4 to 8 letters."""
-    return [word, *(f"{word[:n]}~" for n in range(4, 9) if n <= len(word))]
+    """What is weighed of a word: all of it, its beginnings of 4 to 8 letters, and its letters without their repetitions."""
+    return [word, *(f"{word[:n]}~" for n in range(4, 9) if n <= len(word)), "=" + REPEATED("\\1", word)]
 
 
 def words_of(text: str, cache: dict[str, list[str]], lm: Characters) -> set[str]:
@@ -220,8 +227,9 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         some = part if some is None else some.unionByName(part)
     # two bounded groups, so the small side of the join is bounded
-    base = docs.select("doc_id", text_of(docs).alias("text"))
-    return base.join(F.broadcast(some), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 0)
+    base = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(some), "doc_id")
+    # of rows that share an id, the one of the least text hash
+    return base.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(3)) == 0)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
@@ -252,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     odds = F.log((F.col("n1") + 0.1) / (n1 + 0.2)) - F.log((F.col("n0") + 0.1) / (n0 + 0.2))
     # what the counts leave certain: a mark seen twice says less than one seen fifty times
     sure = odds - 1.0 / F.sqrt(F.col("n1") + 0.1)
-    top = seen.filter(F.col("n1") >= least).select("mark", sure.alias("w")).filter("w > 1").orderBy(F.col("w").desc(), "mark").limit(LEXICON)
+    top = seen.filter(F.col("n1") >= least).select("mark", sure.alias("w")).filter("w > 1")
     model.weights = {r["mark"]: r["w"] for r in top.collect()}
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     model = learn(docs, labels, sample=sample)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed alphabet's table and at most LEXICON words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed alphabet's table and words of the bounded sample
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[tuple[str, float]]] = {}

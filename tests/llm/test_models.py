@@ -64,9 +64,49 @@ def test_disguised_words_are_restored(spark):
     lm = toxicity.Characters(toxicity.trigrams(docs))
     for said, meant in {"1d10t": "idiot", "m o r o n": "moron", "tr@sh": "trash", "s.t.u.p.i.d": "stupid", "looooser": "loser", "5cum": "scum", "cl0wn": "clown", "p-a-t-h-e-t-i-c": "pathetic"}.items():
         assert meant in toxicity.restored(said, lm), said
+    for said, word in (("a s t u p i d", "stupid"), ("stuupid", "stupid"), ("5tup1d", "stupid"), ("id!ot", "idot"), ("x55", "xs")):
+        assert word in toxicity.restored(said, lm) or word in "".join(toxicity.restored(said, lm)), said
+    assert "=fol" in toxicity.marks("fool") and "=fol" in toxicity.marks("fol")
     assert toxicity.restored("plain", lm) == ["plain"] and toxicity.restored("###", lm) == []
 
 
+def test_readings_are_the_likeliest_of_all(spark):
+    """Every path through the lattice, scored by itself: the best reading is the best path's."""
+    lm, r = toxicity.Characters(toxicity.trigrams(spark.read.parquet(f"{SF}/documents.parquet"))), random.Random(7)
+
+    def paths(chunk, a=0, b=0, seen="", last="", score=0.0, text=""):
+        if not chunk:
+            if text.strip():
+                yield score + (lm.logp[a][b][0] if b else 0.0), text.strip()
+            return
+        ch, rest = chunk[0], chunk[1:]
+        if ch in lm.index:
+            i, again = lm.index[ch], last == ch
+            yield from paths(rest, b, i, ch, ch, score + lm.logp[a][b][i] + (toxicity.REPEAT_IN if again else 0.0), text + ch)
+            if again:
+                yield from paths(rest, a, b, seen, last, score + toxicity.REPEAT_OUT, text)
+            return
+        for c in toxicity.LOOKS.get(ch, ""):
+            if last == c and seen == ch:
+                yield from paths(rest, a, b, seen, last, score + toxicity.REPEAT_OUT, text)
+            yield from paths(rest, b, lm.index[c], ch, c, score + lm.logp[a][b][lm.index[c]] + toxicity.AS_LETTER, text + c)
+        if ch in toxicity.APART or ch in "!|+":
+            yield from paths(rest, a, b, seen, last, score + toxicity.LEFT_OUT, text)
+            if b:
+                yield from paths(rest, 0, 0, "", " ", score + lm.logp[a][b][0], text + " ")
+        elif ch not in toxicity.LOOKS or ch.isdigit():
+            yield from paths(rest, a, b, seen, last, score + toxicity.KEPT, text)
+
+    for _ in range(150):
+        chunk = "".join(r.choice("aest01!. -") for _ in range(r.randrange(1, 7)))
+        found, every = lm.readings(chunk), list(paths(chunk))
+        if not every:
+            assert found == []
+        else:
+            top = max(every)[0]
+            assert found[0] in {t for x, t in every if x > top - 1e-9}, (chunk, found[0])
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "bad w0rd " * 3000), (3, "x"), (None, "y")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

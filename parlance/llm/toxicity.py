@@ -19,9 +19,12 @@ kinds every score is the share of label 1 (0 without labels); extra columns are
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from parlance.llm.quality import remainder
 THRESHOLD = 0.3
 SAMPLE = 6_000
 #: Words kept in a worker's cache; a full cache starts again.
-CACHE = 300_000
+CACHE = 1_000_000
 #: Letters of the character model, by code point: a-z and the letters of the Latin-1 and Latin Extended-A blocks.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c == c.lower())
 #: The letters that a sign may stand for.
@@ -48,7 +51,8 @@ MARGIN = 6.0
 
 SIGNS = re.escape("".join(LOOKS)) + re.escape("".join(sorted(APART - {" "})))
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]|[{SIGNS}][^\W\d_]|([^\W\d_])\1").search
-REPEATED = re.compile(r"(.)\1+").sub
+REPEATED, DOUBLED = re.compile(r"(.)\1+").sub, re.compile(r"(.)\1").search
+NOTHING: list = []
 SPACED = re.compile(r"(?<![^\s])(?:[^\s\w]?\w[^\s\w]? ){2,}[^\s\w]?\w[^\s\w]?(?![^\s])").finditer
 EDGES = "".join(sorted(APART)) + "!?.,;:()[]{}<>|+$@\"'«»"
 
@@ -149,6 +153,12 @@ def restored(chunk: str, lm: Characters) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=2)
+def cache_of(run: str) -> dict:
+    """One for each worker process and pass, so that it serves all tasks that run there."""
+    return {}
+
+
 def marks(word: str) -> list[str]:
     """What is weighed of a word: all of it, its beginnings of 4 to 8 letters, and its letters without their repetitions."""
     return [word, *(f"{word[:n]}~" for n in range(4, 9) if n <= len(word)), "=" + REPEATED("\\1", word)]
@@ -181,10 +191,19 @@ class Model:
         w += [0.0] * (3 - len(w))
         return [w[0], w[1], w[2], np.log1p(len(hits)), len(hits) / max(20, n_words), 1.0]
 
+    @cached_property
+    def heads(self) -> set[str]:
+        """The first four letters of the beginnings that weigh something: few words have them."""
+        return {m[:4] for m in self.weights if m.endswith("~")}
+
     def best(self, word: str) -> tuple[str, float]:
-        """The weightiest mark of a word."""
-        found = [(m, self.weights[m]) for m in marks(word) if m in self.weights]
-        return max(found, key=lambda x: x[1]) if found else ("", 0.0)
+        """The weightiest of a word's marks."""
+        get = self.weights.get
+        own = "=" + (REPEATED("\\1", word) if DOUBLED(word) else word)
+        if word[:4] not in self.heads:
+            w, x = get(word, 0.0), get(own, 0.0)
+            return (word, w) if w >= x else (own, x)
+        return max(((m, get(m, 0.0)) for m in marks(word)), key=itemgetter(1))
 
     def look(self, text: str, cache: dict[str, list[tuple[str, float]]]) -> list[float]:
         chunks = set(text.split())
@@ -195,7 +214,7 @@ class Model:
         hits: dict[str, float] = {}
         fresh = chunks.difference(cache)
         for c in fresh:
-            cache[c] = [x for x in map(self.best, restored(c, self.lm)) if x[1] > 0]
+            cache[c] = [x for x in map(self.best, restored(c, self.lm)) if x[1] > 0] or NOTHING
         for got in filter(None, map(cache.__getitem__, chunks)):
             hits.update(got)
         return self.evidence(hits, n)
@@ -243,8 +262,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     if not (ones and zeros and n1):
         return model
 
+    run = uuid.uuid4().hex
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[str]] = {}
+        cache: dict[str, list[str]] = cache_of(f"count {run}")
         with_label, without = Counter(), Counter()
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -264,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     model.weights = {r["mark"]: r["w"] for r in top.collect()}
 
     def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[tuple[str, float]]] = {}
+        cache: dict[str, list[tuple[str, float]]] = cache_of(f"look {run}")
         for b in batches:
             x = [model.look(t, cache) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), b.column(2)], names=["doc_id", "x", "y"])
@@ -287,10 +308,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     model = learn(docs, labels, sample=sample)
+    run = uuid.uuid4().hex
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed alphabet's table and words of the bounded sample
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[tuple[str, float]]] = {}
+        cache: dict[str, list[tuple[str, float]]] = cache_of(f"score {run}")
         for b in batches:
             x = np.array([held.value.look(t, cache) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(x))], names=["doc_id", "score"])

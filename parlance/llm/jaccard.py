@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import SALTS, cut, documents, in_bitmap, map_arrow, marked, salted, text_of
+from parlance.llm.common import cut, documents, in_bitmap, map_arrow, marked, salted, text_of
 from parlance.llm.graphs import components
 
 WORDS, PERCENT = 3, 90
@@ -399,10 +399,9 @@ def rooted_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lim
     rooted = cut(rooted.select("sid", "root", "least", "copies"))
     # a component of a few sets at a time: sets, not documents, meet here, and the minimum is combined before the shuffle
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets"))
-    several = rooted.join(least, "root").filter("sets > 1 OR copies > 1").select("sid", "root", "component_id", "copies", "sets")
-    salted = several.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    mine = held.select("doc_id", "kt", "n", "sid", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = mine.join(salted, ["sid", "salt"], "left")
+    several = salted(rooted, least, ["root"], F.col("sid")).filter("sets > 1 OR copies > 1").select("sid", "root", "component_id", "copies", "sets")
+    mine = held.select("key", "doc_id", "kt", "n", "sid")
+    out = salted(mine, several, ["sid"], F.col("key"), how="left")
     found = (F.col("n") > 0) & F.col("copies").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(found, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("copies"), F.when(found, F.col("sets")).otherwise(F.lit(1)).cast("long").alias("component_sets"), "kt", F.when(found, F.col("root")).alias("root"))
 
@@ -418,7 +417,7 @@ def first_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     found = cut(found.groupBy("root", "doc_id", "kt").agg(F.count("*").alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kt")
     first = found.groupBy("root").agg(F.min(order).alias("first"))
-    both = found.join(first, "root").withColumn("stays", order.eqNullSafe(F.col("first")))
+    both = salted(found, first, ["root"], F.col("doc_id"), F.col("kt")).withColumn("stays", order.eqNullSafe(F.col("first")))
     name = lambda i, t: F.xxhash64(F.coalesce(i, F.lit(NO_ID)), t).alias("name")
     named = cut(both.filter("NOT stays OR rows > 1").select("doc_id", "kt", "stays", name(F.col("doc_id"), F.col("kt"))))
     kt = F.xxhash64(text_of(docs))

@@ -456,3 +456,20 @@ def brute(texts: dict[int, str | None], words: int = WORDS, percent: int = PERCE
 
 
 QUERIES = {"op7_metric_join": op7_metric_join}
+
+#: The whole result by all pairs of different sets that share a shingle, and the closure of their links.
+JOIN_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= {WORDS} THEN list_distinct(list_transform(range(1, len(ws) - {WORDS} + 2), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END AS sh FROM w),
+d AS (SELECT doc_id, sh, len(sh) AS n, md5(array_to_string(list_sort(sh), chr(10))) AS k FROM s),
+u AS (SELECT k, any_value(n) AS n, any_value(sh) AS sh, min(doc_id) AS least, count(*) AS copies FROM d WHERE n > 0 GROUP BY k),
+e AS (SELECT k, n, unnest(sh) AS x FROM u),
+p AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {PERCENT} * (na + nb - c)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS other FROM u UNION SELECT r.k, g.b FROM r JOIN g ON g.a = r.other),
+c AS (SELECT r.k, min(o.least) AS component_id, count(*) AS component_sets FROM r JOIN u o ON o.k = r.other GROUP BY r.k)
+SELECT doc_id, d.n AS n_shingles, coalesce(c.component_id, doc_id) AS component_id, coalesce(u.copies, 1) AS copies, coalesce(c.component_sets, 1) AS component_sets
+FROM d LEFT JOIN u ON u.k = d.k AND d.n > 0 LEFT JOIN c ON c.k = d.k AND d.n > 0
+"""
+ORACLES = {"op7_metric_join": JOIN_SQL}

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,11 @@ def test_join_of_all_documents_is_the_brute_force_one(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for words, percent in ((3, 90), (5, 80)):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs, words, percent).collect()} == jaccard.brute(texts, words, percent)
+
+
+def test_join_is_its_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = c.sql(jaccard.JOIN_SQL)
+    rows = jaccard.op7_metric_join(spark, SF).select(*found.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())

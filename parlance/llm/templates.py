@@ -3,9 +3,8 @@
 Lines are parsed in a tree of fixed depth: the number of tokens, then the first LEAD tokens, in which tokens with digits count as
 one variable. Under a leaf, a line whose tokens with digits are taken as variable is a template itself if it recurs;
 the other lines of the leaf share a template that has, at each place, the token most of them have, or else a variable, and
-belong to it if they agree with it in at least SIMILAR of the places. A leaf may hold several templates: lines that have a band of
-places in common are a group by themselves if they agree with a line of it as far. Templates that recur across documents are
-dropped from the texts.
+belong to it if they agree with it in at least SIMILAR of the places. A leaf may hold several templates: each line is one, for
+all lines of the leaf that agree with it as far. Templates that recur across documents are dropped from the texts.
 
 A template recurs if at least ``min_docs`` different documents have it: documents count by what they hold besides the line, so
 copies count once however many they are. Two are enough for templates of LONG tokens if they have little else in common (by a sketch
@@ -102,22 +101,70 @@ def voted(rest: DataFrame, min_docs: int) -> DataFrame:
     return near.select("leaf", "th", F.lit(0).cast("long").alias("group"))
 
 
-def banded(rest: DataFrame) -> DataFrame:
-    """(leaf, th, group): the lines of each leaf that agree with another line, which names the group.
+def banded(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaf, th, group): the lines of each leaf that agree with another line, which names the group, as far as the ends of bands tell;
+    (leaf, band, th): the lines between the ends of bands, which ``crowded`` compares.
 
     The places after the first tokens are cut into one band more than places may differ, so lines that differ in the same
-    few places have a band in common; the least and the greatest line that have it are looked at.
+    few places have a band in common; each line is compared with the least and the greatest line that have it.
     """
     keyed = rest.withColumn("k", F.floor((1 - SIMILAR) * F.size("tokens") + 1e-9).cast("int") + 1).filter(F.size("tokens") > LEAD)
     at = lambda b: F.floor(b * (F.size("tokens") - LEAD) / F.col("k")).cast("int")
     bands = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: F.xxhash64(b, F.slice("tokens", LEAD + 1 + at(b), at(b + 1) - at(b))))
     keyed = cut(keyed.select("leaf", "th", F.explode(bands).alias("band")))
-    ends = keyed.groupBy("leaf", "band").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low < high")
-    pairs = keyed.join(ends, ["leaf", "band"]).select("leaf", "th", F.explode(F.array("low", "high")).alias("group")).filter("th != `group`").distinct()
+    ends = keyed.groupBy("leaf", "band").agg(F.min("th").alias("low"), F.max("th").alias("high"), F.count("*").alias("lines")).filter("low < high")
+    keyed = cut(keyed.join(ends, ["leaf", "band"]))
+    pairs = keyed.select("leaf", "th", F.explode(F.array("low", "high")).alias("end")).filter("th != end")
+    pairs = pairs.select("leaf", F.least("th", "end").alias("th"), F.greatest("th", "end").alias("group")).distinct()
     both = pairs.join(rest.select("leaf", "th", "tokens"), ["leaf", "th"]).join(rest.select("leaf", F.col("th").alias("group"), F.col("tokens").alias("others")), ["leaf", "group"])
-    near = cut(both.filter(agreement(F.col("tokens"), F.col("others")) >= SIMILAR * F.size("tokens")).select("leaf", "th", "group"))
-    # a line that names a group is in it
-    return near.unionByName(near.select("leaf", F.col("group").alias("th"), "group"))
+    near = cut(both.filter(agree()).select("leaf", "th", "group"))
+    # two lines between the ends of a band have not been compared
+    return mutual(near), keyed.filter("lines > 3 AND th != low AND th != high").select("leaf", "band", "th")
+
+
+def agree() -> Column:
+    return agreement(F.col("tokens"), F.col("others")) >= SIMILAR * F.size("tokens")
+
+
+def mutual(near: DataFrame) -> DataFrame:
+    """Each of two lines that agree is in the other's group, and in its own."""
+    return near.select("leaf", F.explode(F.array(*[F.struct(F.col(a).alias("th"), F.col(b).alias("group")) for a in ("th", "group") for b in ("th", "group")])).alias("p")).select("leaf", "p.th", "p.group")
+
+
+def crowded(rest: DataFrame, between: DataFrame, found: DataFrame) -> DataFrame:
+    """(leaf, th, group): all pairs that agree of the lines between the ends of bands, if one of them names no group that is found to recur.
+
+    The other pairs decide nothing: both of their lines go.
+    """
+    tokens = rest.select("leaf", "th", "tokens")
+    open_ = cut(between.join(found.select("leaf", F.col("group").alias("th")), ["leaf", "th"], "left_anti"))
+    met = between.join(open_.select("leaf", "band").distinct(), ["leaf", "band"], "left_semi").join(tokens, ["leaf", "th"])
+    met = met.select("leaf", "band", F.col("th").alias("group"), F.col("tokens").alias("others"))
+    # compared where they meet, so that only pairs that agree are written
+    both = salted(open_.join(tokens, ["leaf", "th"]), met, ["leaf", "band"], F.col("th")).filter("th != `group`").filter(agree())
+    return mutual(both.select("leaf", "th", "group").distinct())
+
+
+def recurring_groups(matched: DataFrame, counts: DataFrame, sketches: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, group) of the groups whose lines recur across different documents."""
+    # a leaf has one token count, so its lines are all long or none is
+    shared = counts.join(matched, ["leaf", "th"]).select("leaf", "group", "m").distinct()
+    alike = sketches.join(matched, ["leaf", "th"]).groupBy("leaf", "group", "m").agg(F.min("sketch").alias("sketch"))
+    return recurring(shared, alike, ["leaf", "group"], min_docs)
+
+
+def similar(rest: DataFrame, counts: DataFrame, sketches: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, th): the lines in a group that recurs, of the majority's template or of a line.
+
+    Every line that agrees with a line that recurs so is found: what the ends of bands leave open is compared in full.
+    """
+    near, between = banded(rest)
+    matched = cut(voted(rest, min_docs).unionByName(near).distinct())
+    found = cut(recurring_groups(matched, counts, sketches, min_docs))
+    more = cut(crowded(rest, between, found).distinct())
+    again = matched.unionByName(more).join(more.select("leaf", "group").distinct(), ["leaf", "group"], "left_semi").distinct()
+    found = found.unionByName(recurring_groups(again, counts, sketches, min_docs)).distinct()
+    return salted(matched.unionByName(more), found, ["leaf", "group"], F.col("th")).select("leaf", "th").distinct()
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -140,11 +187,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     rest = some.groupBy("leaf", "th", "line").agg(F.count("*").alias("n")).join(own, ["leaf", "th"], "left_anti")
     several = rest.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("all")).filter("lines > 1").select("leaf", "all")
     rest = cut(rest.join(several, "leaf").select("leaf", "th", "n", "all", placed(F.col("line")).alias("tokens")))
-    matched = cut(voted(rest, min_docs).unionByName(banded(rest)).distinct())
-    # a leaf has one token count, so its lines are all long or none is
-    shared = counts.join(matched, ["leaf", "th"]).select("leaf", "group", "m").distinct()
-    alike = sketches.join(matched, ["leaf", "th"]).groupBy("leaf", "group", "m").agg(F.min("sketch").alias("sketch"))
-    general = salted(matched, recurring(shared, alike, ["leaf", "group"], min_docs), ["leaf", "group"], F.col("th")).select("leaf", "th").distinct()
+    general = similar(rest, counts, sketches, min_docs)
     gone = cut(own.unionByName(general))
     rows = salted(some.select("kt", "kd", "no", "leaf", "th", "size", "chars"), gone, ["leaf", "th"], F.col("kt"), F.col("no"))
     return without_near_copies(cut(rows.groupBy("kt", "kd", "no", "leaf", "th", "size", "chars").agg(F.count("*").alias("docs"))))

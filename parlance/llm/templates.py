@@ -34,6 +34,8 @@ WHOLE = 8 / 9
 #: Tokens of templates for which two documents are enough; different texts in which the lines of a near copy must stand.
 LONG, HOSTS, SKETCH = 50, 2, 8
 VARIABLE = "<*>"
+#: Lines beyond which a line's bands give way to its rarest tokens, if they have fewer; lines of one key that are compared in one task.
+CROWD, PART = 1000, 1024
 
 
 def masked(line: Column) -> Column:
@@ -101,14 +103,19 @@ def voted(rest: DataFrame, min_docs: int) -> DataFrame:
     return near.select("leaf", "th", F.lit(0).cast("long").alias("group"))
 
 
+def may_differ(tokens: Column) -> Column:
+    """The most places in which two lines that agree may differ."""
+    return F.floor((1 - SIMILAR) * F.size(tokens) + 1e-9).cast("int")
+
+
 def banded(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaf, th, group): the lines of each leaf that agree with another line, which names the group, as far as the ends of bands tell;
-    (leaf, band, th): the lines between the ends of bands, which ``crowded`` compares.
+    (leaf, band, th, low, high, lines): the lines of each band, its ends and their number; ``crowded`` compares those between the ends.
 
     The places after the first tokens are cut into one band more than places may differ, so lines that differ in the same
     few places have a band in common; each line is compared with the least and the greatest line that have it.
     """
-    keyed = rest.withColumn("k", F.floor((1 - SIMILAR) * F.size("tokens") + 1e-9).cast("int") + 1).filter(F.size("tokens") > LEAD)
+    keyed = rest.withColumn("k", may_differ(F.col("tokens")) + 1).filter(F.size("tokens") > LEAD)
     at = lambda b: F.floor(b * (F.size("tokens") - LEAD) / F.col("k")).cast("int")
     bands = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda b: F.xxhash64(b, F.slice("tokens", LEAD + 1 + at(b), at(b + 1) - at(b))))
     keyed = cut(keyed.select("leaf", "th", F.explode(bands).alias("band")))
@@ -118,8 +125,7 @@ def banded(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.select("leaf", F.least("th", "end").alias("th"), F.greatest("th", "end").alias("group")).distinct()
     both = pairs.join(rest.select("leaf", "th", "tokens"), ["leaf", "th"]).join(rest.select("leaf", F.col("th").alias("group"), F.col("tokens").alias("others")), ["leaf", "group"])
     near = cut(both.filter(agree()).select("leaf", "th", "group"))
-    # two lines between the ends of a band have not been compared
-    return mutual(near), keyed.filter("lines > 3 AND th != low AND th != high").select("leaf", "band", "th")
+    return mutual(near), keyed
 
 
 def agree() -> Column:
@@ -131,17 +137,60 @@ def mutual(near: DataFrame) -> DataFrame:
     return near.select("leaf", F.explode(F.array(*[F.struct(F.col(a).alias("th"), F.col(b).alias("group")) for a in ("th", "group") for b in ("th", "group")])).alias("p")).select("leaf", "p.th", "p.group")
 
 
-def crowded(rest: DataFrame, between: DataFrame, found: DataFrame) -> DataFrame:
-    """(leaf, th, group): all pairs that agree of the lines between the ends of bands, if one of them names no group that is found to recur.
+def asking(met: DataFrame, open_: DataFrame, counts: DataFrame, gone: DataFrame, long: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, th): the lines of ``open_`` whose group may recur, and hold a line that has not gone, by what all lines of their bands tell.
+
+    Near copies that differ in this line only have the same rest of a document; their bands have one, however many lines.
+    """
+    kinds = met.join(counts, ["leaf", "th"]).select("leaf", "band", "m").distinct().groupBy("leaf", "band").agg(F.count("*").alias("kinds"), F.min("m").alias("a"), F.max("m").alias("b"))
+    left = met.join(gone, ["leaf", "th"], "left_anti").select("leaf", "band").distinct().withColumn("left", F.lit(True))
+    own = met.select("leaf", "band", "th").join(open_, ["leaf", "th"], "left_semi").join(kinds, ["leaf", "band"]).join(left, ["leaf", "band"], "left")
+    own = own.groupBy("leaf", "th").agg(F.max("kinds").alias("kinds"), F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias("ms"), F.max("left").alias("left"))
+    # where no band has more than two kinds, its least and greatest are all it has
+    few = F.when(F.col("long"), min(2, min_docs)).otherwise(min_docs)
+    return own.join(long, ["leaf", "th"]).filter(F.col("left") & ((F.col("kinds") > 2) | (F.size("ms") >= few))).select("leaf", "th")
+
+
+def rarest(rest: DataFrame) -> DataFrame:
+    """(leaf, th, key, lines): of each line the tokens that are rarest in its leaf, one more than places may differ, if other lines have them.
+
+    Two lines that agree have one of these in common, as of any order of the tokens that is the same for all lines of a leaf.
+    """
+    tokens = rest.select("leaf", "th", F.size("tokens").alias("size"), (may_differ(F.col("tokens")) + 1).alias("k"), F.explode("tokens").alias("key"))
+    often = tokens.groupBy("leaf", "key").agg(F.count("*").alias("lines")).filter("lines > 1")
+    shared = tokens.join(often, ["leaf", "key"]).groupBy("leaf", "th", "size", "k").agg(F.array_sort(F.collect_list(F.struct("lines", "key"))).alias("keys"))
+    # the tokens that no other line has come first
+    first = F.slice("keys", 1, F.greatest(F.lit(0), F.col("k") - (F.col("size") - F.size("keys"))))
+    return shared.select("leaf", "th", F.explode(first).alias("key")).select("leaf", "th", "key.key", "key.lines")
+
+
+def crowded(rest: DataFrame, keyed: DataFrame, counts: DataFrame, found: DataFrame, gone: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, th, group): the pairs that agree of the lines between the ends of bands, if one of them names a group that may
+    recur, is not found to, and may hold a line that is not in ``gone``.
 
-    The other pairs decide nothing: both of their lines go.
+    The other pairs decide nothing. A line is compared with the lines of its bands, or with those that have one of its
+    rarest tokens, whichever are fewer.
     """
+    # two lines between the ends of a band have not been compared
+    inner = F.expr("lines > 3 AND th != low AND th != high")
+    open_ = cut(keyed.filter(inner).select("leaf", "th").distinct().join(found.select("leaf", F.col("group").alias("th")), ["leaf", "th"], "left_anti"))
+    met = cut(keyed.join(keyed.join(open_, ["leaf", "th"], "left_semi").select("leaf", "band").distinct(), ["leaf", "band"], "left_semi"))
+    long = rest.select("leaf", "th", (F.size("tokens") >= LONG).alias("long"))
+    asked = cut(asking(met, open_, counts, gone, long, min_docs))
+    bands = met.filter(inner).select("leaf", "th", F.col("band").alias("key"), "lines")
+    costs = cut(bands.join(asked, ["leaf", "th"], "left_semi").groupBy("leaf", "th").agg(F.sum("lines").alias("lines")))
+    rare = cut(rarest(rest.join(costs.filter(F.col("lines") > CROWD).select("leaf").distinct(), "leaf", "left_semi")))
+    # a line without any such token has no line to be compared with
+    fewer = costs.filter(F.col("lines") > CROWD).join(rare.groupBy("leaf", "th").agg(F.sum("lines").alias("other")), ["leaf", "th"], "left").filter(F.coalesce("other", F.lit(0)) < F.col("lines")).select("leaf", "th")
+    asks = bands.join(asked.join(fewer, ["leaf", "th"], "left_anti"), ["leaf", "th"], "left_semi").unionByName(rare.join(fewer, ["leaf", "th"], "left_semi"))
+    asks = cut(asks.select("leaf", "th", "key"))
+    parts = asks.groupBy("leaf", "key").agg(F.floor(F.count("*") / PART).alias("parts"))
     tokens = rest.select("leaf", "th", "tokens")
-    open_ = cut(between.join(found.select("leaf", F.col("group").alias("th")), ["leaf", "th"], "left_anti"))
-    met = between.join(open_.select("leaf", "band").distinct(), ["leaf", "band"], "left_semi").join(tokens, ["leaf", "th"])
-    met = met.select("leaf", "band", F.col("th").alias("group"), F.col("tokens").alias("others"))
+    ours = asks.join(parts, ["leaf", "key"]).withColumn("part", F.pmod(F.xxhash64("th"), F.col("parts") + 1)).select("leaf", "th", "key", "part").join(tokens, ["leaf", "th"])
+    theirs = bands.unionByName(rare).select("leaf", "th", "key").join(parts, ["leaf", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts")))).join(tokens, ["leaf", "th"])
+    theirs = theirs.select("leaf", "key", "part", F.col("th").alias("group"), F.col("tokens").alias("others"))
     # compared where they meet, so that only pairs that agree are written
-    both = salted(open_.join(tokens, ["leaf", "th"]), met, ["leaf", "band"], F.col("th")).filter("th != `group`").filter(agree())
+    both = ours.join(theirs, ["leaf", "key", "part"]).filter("th != `group`").filter(agree())
     return mutual(both.select("leaf", "th", "group").distinct())
 
 
@@ -158,10 +207,11 @@ def similar(rest: DataFrame, counts: DataFrame, sketches: DataFrame, min_docs: i
 
     Every line that agrees with a line that recurs so is found: what the ends of bands leave open is compared in full.
     """
-    near, between = banded(rest)
+    near, keyed = banded(rest)
     matched = cut(voted(rest, min_docs).unionByName(near).distinct())
     found = cut(recurring_groups(matched, counts, sketches, min_docs))
-    more = cut(crowded(rest, between, found).distinct())
+    gone = cut(salted(matched, found, ["leaf", "group"], F.col("th")).select("leaf", "th").distinct())
+    more = cut(crowded(rest, keyed, counts, found, gone, min_docs).distinct())
     again = matched.unionByName(more).join(more.select("leaf", "group").distinct(), ["leaf", "group"], "left_semi").distinct()
     found = found.unionByName(recurring_groups(again, counts, sketches, min_docs)).distinct()
     return salted(matched.unionByName(more), found, ["leaf", "group"], F.col("th")).select("leaf", "th").distinct()

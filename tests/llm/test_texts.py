@@ -291,3 +291,56 @@ def test_a_family_between_the_ends_goes(spark):
     rows += [(100 + i, f"own {word()} {word()} {word()}\nalpha beta gamma same {word()} {word()}") for i in range(60)]
     out = {x.row.doc_id: x.dropped for x in templates.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == ([1] if i < 100 else []) for i in out)
+
+
+def leaf_lines(spark, lines):
+    """The lines as ``similar`` gets them, of one leaf for each length and first three words."""
+    F = templates.F
+    base = spark.createDataFrame([(x, " ".join(x.split()[:3]), len(x.split())) for x in lines], "line string, lead string, size int")
+    return base.select(F.xxhash64("size", "lead").alias("leaf"), F.xxhash64("line").alias("th"), "line", F.lit(1).cast("long").alias("n"), F.lit(len(lines)).cast("long").alias("all"), templates.placed(F.col("line")).alias("tokens")).cache()
+
+
+@pytest.mark.parametrize("kind", ["unlike", "copies"])
+def test_comparisons_grow_with_the_lines(spark, monkeypatch, kind):
+    """Lines that share a band but nothing else, and near copies of one document that differ in the line only."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    n = 300
+    lines = [f"alpha beta gamma same {word()} {word()}" if kind == "unlike" else f"alpha beta gamma {'same ' * 12}{word()}" for _ in range(n)]
+    F, calls, plain = templates.F, spark.sparkContext.accumulator(0), templates.agreement
+
+    @F.udf("int")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    monkeypatch.setattr(templates, "agreement", lambda a, b: counted(plain(a, b)))
+    monkeypatch.setattr(templates, "CROWD", 100, raising=False)
+    rest = leaf_lines(spark, lines)
+    counts = rest.select("leaf", "th", (F.col("th") if kind == "unlike" else F.lit(1).cast("long")).alias("m"))
+    sketches = counts.withColumn("sketch", F.array(F.lit(1).cast("long"))).filter("false")
+    assert templates.similar(rest, counts, sketches, 3).count() == 0
+    assert n <= calls.value < 40 * n  # all pairs of one band are n * n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rarest_tokens_miss_no_line(spark, monkeypatch, seed):
+    """With the rarest tokens in place of bands, and the lines of a key in parts: all that brute force finds."""
+    r = random.Random(seed)
+    base = ["alpha beta gamma " + " ".join(r.choice("abc") for _ in range(k)) for k in (4, 7, 12)]
+    vary = lambda x: " ".join([*x.split()[:3], *[r.choice("abcdefgh") if r.random() < 0.3 else w for w in x.split()[3:]]])
+    lines = sorted({vary(r.choice(base)) for _ in range(150)})
+    monkeypatch.setattr(templates, "CROWD", 0)
+    monkeypatch.setattr(templates, "PART", 4)
+    # the rest of the way without what the ends of bands tell
+    monkeypatch.setattr(templates, "voted", lambda rest, min_docs: rest.select("leaf", "th", templates.F.col("th").alias("group")).limit(0))
+    F = templates.F
+    rest = leaf_lines(spark, lines)
+    counts = rest.select("leaf", "th", F.pmod("th", F.lit(40)).alias("m"))
+    sketches = counts.withColumn("sketch", F.array(F.lit(1).cast("long"))).filter("false")
+    m = {x.line: x.m for x in rest.join(counts, ["leaf", "th"]).collect()}
+    like = lambda x, y: len(x.split()) == len(y.split()) and sum(a == b for a, b in zip(x.split(), y.split())) >= templates.SIMILAR * len(x.split())
+    near = {x: [y for y in lines if like(x, y)] for x in lines}
+    want = {y for x in lines if len({m[z] for z in near[x]}) >= 3 for y in near[x]}
+    got = {x.line for x in templates.similar(rest, counts, sketches, 3).join(rest, ["leaf", "th"]).collect()}
+    assert got == want and 0 < len(want) < len(lines)
